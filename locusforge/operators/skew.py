@@ -42,14 +42,19 @@ def tree_aggregate(
 
 
 def count_by_key(df: DataFrame, key: Column, spread: Column, fan_in: int = 32) -> DataFrame:
-    """``key, n_rows`` for every key, null included; ``spread`` is any non-negative long of the row."""
-    return tree_aggregate(df.select(key.alias("key"), spread.alias("__s")), ["key"], F.col("__s"), {"n_rows": (F.count(F.lit(1)), "sum")}, fan_in, 1)
+    """``key, n_rows, is_key`` for every key; null comes with is_key false; ``spread`` is any non-negative long of the row."""
+    rows = df.select(key.alias("key"), spread.alias("__s"))
+    return tree_aggregate(rows, ["key"], F.col("__s"), {"n_rows": (F.count(F.lit(1)), "sum"), "is_key": (F.max(F.col("key").isNotNull()), "max")}, fan_in, 1)
 
 
 def heavy_keys(counts: DataFrame, percent: int = 3) -> DataFrame:
-    """The keys of ``count_by_key`` that hold at least ``percent`` % of all rows; null is no key but counts as rows."""
+    """The keys of ``count_by_key`` that hold at least ``percent`` % of all rows; null is no key but counts as rows.
+
+    The filter is on the aggregated ``is_key``, as one on ``key`` would be pushed below the exchange and keep the
+    total from reusing it.
+    """
     total = counts.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("t")).scalar()
-    return counts.where(F.col("key").isNotNull() & (F.col("n_rows") * 100 >= F.lit(percent) * total)).select("key", "n_rows")
+    return counts.where(F.col("is_key") & (F.col("n_rows") * 100 >= F.lit(percent) * total)).select("key", "n_rows")
 
 
 #: Positions in a chunk of level 0.
