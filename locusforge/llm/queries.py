@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from locusforge.conventions import BASES, sample_name, scaffold_name
-from locusforge.llm import components, runs, sql, tokens
+from locusforge.llm import components, leakage, runs, sql, tokens
 from locusforge.session import read_table
 
 
@@ -65,8 +65,12 @@ def p7_offsets(spark: SparkSession, d: str) -> DataFrame:
     return o.select("doc_id", F.size("starts").alias("n_tokens"), F.coalesce(F.array_max("ends"), F.lit(0)).alias("last_char"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p5_found, p7_ids, p7_decoded, p7_offsets)}
+    return {f.__name__: f for f in (p1_found, p5_found, p7_ids, p7_decoded, p7_offsets, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
