@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from locusforge.conventions import BASES, sample_name, scaffold_name
-from locusforge.llm import components, leakage, runs, sql, tokens
+from locusforge.llm import components, leakage, reading, runs, sql, tokens
 from locusforge.session import read_table
 
 
@@ -69,8 +69,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(read_table(spark, d, "documents"), read_table(spark, d, "reading_labels")).select("doc_id", "level")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p5_found, p7_ids, p7_decoded, p7_offsets, p8_found)}
+    return {f.__name__: f for f in (p1_found, p5_found, p7_ids, p7_decoded, p7_offsets, p8_found, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
