@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from locusforge.conventions import BASES, sample_name, scaffold_name
-from locusforge.llm import components, leakage, reading, runs, sql, tokens
-from locusforge.session import read_table
+from locusforge.conventions import BASES, period, sample_name, scaffold_name
+from locusforge.llm import components, leakage, quantiles, reading, runs, sql, tokens
+from locusforge.session import cut_lineage, read_table
 
 
 def _micros(c: str) -> Column:
@@ -36,6 +36,37 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+PERCENTS = (25, 50, 75, 90, 99)
+
+
+def _monthly_digests(spark: SparkSession, d: str) -> DataFrame:
+    """``key, month, metric, node, n`` of each scaffold; written once, as months, scaffolds and genomes all build on it."""
+    values = ", ".join(f"'{b}', cast({b} as bigint)" for b in BASES)
+    rows = read_table(spark, d, "profile").where("chrom is not null").select(scaffold_name("chrom").alias("key"), F.coalesce(period("loaded_at"), F.lit("none")).alias("month"), *BASES)
+    stacked = rows.selectExpr("key", "month", f"stack(5, {values}, 'sum', {' + '.join(f'cast({b} as bigint)' for b in BASES)}) as (metric, value)")
+    leaves = stacked.select("key", "month", "metric", quantiles.leaf(F.col("value")).alias("node"), F.lit(1).alias("n"))
+    return cut_lineage(quantiles.digest(leaves, ["key", "month", "metric"], ["key", "month"]))
+
+
+def _all_months(monthly: DataFrame) -> DataFrame:
+    return quantiles.digest(monthly.select("key", "metric", "node", "n"), ["key", "metric"], ["key", "metric"]).select("key", F.lit("all").alias("month"), "metric", "node", "n")
+
+
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of A, C, G, T and their sum per scaffold and genome, by month and (month ``all``) of all months merged
+    from the monthly digests. Genomes are reached through the rows of stb that are not removed."""
+    scaffolds = _monthly_digests(spark, d)
+    stb = read_table(spark, d, "stb").where("removed_at is null and genome is not null and scaffold is not null").select(scaffold_name("scaffold").alias("key"), "genome").distinct()
+    of_genomes = scaffolds.join(stb, "key").select(F.col("genome").alias("key"), "month", "metric", "node", "n")
+    genomes = cut_lineage(quantiles.digest(of_genomes, ["key", "month", "metric"], ["key", "month", "metric"]))
+    keys, out = ["key", "month", "metric"], None
+    for scope, monthly in (("scaffold", scaffolds), ("genome", genomes)):
+        for part in (monthly, _all_months(monthly)):
+            p = quantiles.percentiles(part, keys, PERCENTS).select(F.lit(scope).alias("scope"), *keys, "n", *(f"p{x}" for x in PERCENTS), F.expr(f"cast(floor(n * {quantiles.ERROR} / {quantiles.LEVELS}) * {quantiles.LEVELS} as bigint)").alias("rank_error"))
+            out = p if out is None else out.unionByName(p)
+    return out
+
+
 #: ANI in percent from which two samples carry the same strain, and positions that must be exceeded.
 LINK_ANI, LINK_POSITIONS = 99.9, 10_000
 
@@ -74,7 +105,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p5_found, p7_ids, p7_decoded, p7_offsets, p8_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p4_percentiles, p5_found, p7_ids, p7_decoded, p7_offsets, p8_found, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
