@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from locusforge.conventions import BASES, period, sample_name, scaffold_name
-from locusforge.llm import components, leakage, quantiles, reading, runs, sql, tokens
+from locusforge.llm import components, leakage, packing, quantiles, reading, runs, sql, tokens
 from locusforge.session import cut_lineage, read_table
 
 
@@ -36,6 +36,25 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Positions in a profiling batch of scaffolds, and of genomes.
+SCAFFOLD_BATCH, GENOME_BATCH = 500_000, 10_000_000
+
+
+def p2_scaffold_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Scaffolds by their distinct segments in batches; scaffolds of one genome come together first."""
+    bed = read_table(spark, d, "genomes_bed_file").where("scaffold is not null and end_pos > start_pos").select(scaffold_name("scaffold").alias("item"), "start_pos", "end_pos").distinct()
+    stb = read_table(spark, d, "stb").where("scaffold is not null and genome is not null").groupBy(scaffold_name("scaffold").alias("item")).agg(F.min("genome").alias("lead"))
+    lengths = bed.groupBy("item").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("length"))
+    items = lengths.join(stb, "item", "left").withColumn("terms", F.concat(packing.name_terms(F.col("item")), F.array_compact(F.array("lead"))))
+    return packing.pack(items, SCAFFOLD_BATCH).withColumnRenamed("item", "scaffold")
+
+
+def p2_genome_batches(spark: SparkSession, d: str) -> DataFrame:
+    lengths = read_table(spark, d, "genome_lengths").groupBy(F.col("genome").alias("item")).agg(F.max("genome_length").alias("length"))
+    items = lengths.withColumns({"lead": F.substring("item", 1, 7), "terms": packing.name_terms(F.col("item"))})
+    return packing.pack(items, GENOME_BATCH).withColumnRenamed("item", "genome")
+
+
 PERCENTS = (25, 50, 75, 90, 99)
 
 
@@ -105,7 +124,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p4_percentiles, p5_found, p7_ids, p7_decoded, p7_offsets, p8_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_scaffold_batches, p2_genome_batches, p4_percentiles, p5_found, p7_ids, p7_decoded, p7_offsets, p8_found, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
