@@ -15,43 +15,43 @@ _ODD = rf"[+-](?:0*(?:{LONGEST_INDEL + 1}|[0-9]{{{len(str(LONGEST_INDEL)) + 1},}
 
 
 def _step_by_step(c: Column) -> Column:
-    """One pass over the characters: state (skip, digits, out). An indel that the text cuts short drops what there is."""
-    start = F.struct(F.lit(0).alias("skip"), F.lit(False).alias("counting"), F.lit("").alias("digits"), F.lit("").alias("out"))
+    """One pass over the characters. ``sign`` is a marker whose right side is not known yet, ``digits`` an indel's length."""
+
+    def state(skip, sign, digits, out) -> Column:
+        return F.struct(skip.cast("int").alias("skip"), sign.alias("sign"), digits.alias("digits"), out.alias("out"))
+
+    none, zero, most = F.lit(""), F.lit(0), F.lit(2**31 - 2)
 
     def step(s: Column, x: Column) -> Column:
-        def state(skip, counting, digits, out):
-            return F.struct(skip.cast("int").alias("skip"), counting.alias("counting"), digits.alias("digits"), out.alias("out"))
-
-        no, yes, empty, zero = F.lit(False), F.lit(True), F.lit(""), F.lit(0)
-        digit = x.rlike("^[0-9]$")
-        plain = (
-            F.when(x == "^", state(F.lit(1), no, empty, s["out"]))
-            .when(x == "$", state(zero, no, empty, s["out"]))
-            .when(x.isin("+", "-"), state(zero, yes, empty, s["out"]))
-            .otherwise(state(zero, no, empty, F.concat(s["out"], x)))
-        )
-        size = F.when(s["digits"] == "", 0).otherwise(F.least(F.coalesce(F.expr("1").cast("int") * s["digits"].try_cast("bigint"), F.lit(2**31 - 2)), F.lit(2**31 - 2))).cast("int")
+        def plain(out: Column) -> Column:
+            return F.when(x == "$", state(zero, none, none, out)).when(x.isin("^", "+", "-"), state(zero, x, none, out)).otherwise(state(zero, none, none, F.concat(out, x)))
+
+        size = F.least(F.coalesce(s["digits"].try_cast("bigint"), most), most)
         return (
-            F.when(s["counting"] & digit, state(zero, yes, F.concat(s["digits"], x), s["out"]))
-            .when(s["counting"] & (size > 0), state(size - 1, no, empty, s["out"]))
-            .when(~s["counting"] & (s["skip"] > 0), state(s["skip"] - 1, no, empty, s["out"]))
-            .otherwise(plain)
+            F.when(s["sign"] == "^", state(zero, none, none, s["out"]))
+            .when(s["sign"].isin("+", "-") & x.rlike("^[0-9]$"), state(zero, s["sign"], F.concat(s["digits"], x), s["out"]))
+            .when((s["digits"] != "") & (size > 0), state(size - 1, none, none, s["out"]))
+            .when(s["skip"] > 0, state(s["skip"] - 1, none, none, s["out"]))
+            .when((s["sign"] != "") & (s["digits"] == ""), plain(F.concat(s["out"], s["sign"])))
+            .otherwise(plain(s["out"]))
         )
 
-    return F.aggregate(F.split(c, ""), start, step)["out"]
+    start = state(zero, none, none, none)
+    return F.aggregate(F.split(c, ""), start, step, lambda s: F.when(s["digits"] == "", F.concat(s["out"], s["sign"])).otherwise(s["out"]))
 
 
 def clean_bases(c: Column | str) -> Column:
     """Read bases without markers, in upper case. Null stays null.
 
     ``^`` drops itself and the next character, ``$`` itself, ``+N``/``-N`` itself and N characters or as many as there
-    are. One regular expression does it, but for rows with indels that are longer than LONGEST_INDEL or cut short.
+    are; a sign without a number and a ``^`` at the end stay. One regular expression does it, but for rows with indels
+    that are longer than LONGEST_INDEL or cut short.
     """
     c = F.col(c) if isinstance(c, str) else c
     once = F.regexp_replace(c, PATTERN, "")
-    # what the pattern could not take leaves a sign; texts with a quality character that is a sign go the long way too
-    odd = c.rlike(r"[+-][0-9]") & (once.rlike("[+-]") | c.rlike(_ODD))
-    return F.upper(F.when(odd, _step_by_step(c)).otherwise(F.regexp_replace(once, r"\^$", "")))
+    # what the pattern could not take leaves a sign; a text whose qualities hold a sign then also goes step by step
+    odd = c.rlike("[+-][0-9]") & (once.rlike("[+-]") | c.rlike(_ODD))
+    return F.upper(F.when(odd, _step_by_step(c)).otherwise(once))
 
 
 def count_base(cleaned: Column, base: str) -> Column:

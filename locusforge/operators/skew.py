@@ -50,10 +50,10 @@ def count_by_key(df: DataFrame, key: Column, spread: Column, fan_in: int = 32) -
 def heavy_keys(counts: DataFrame, percent: int = 3) -> DataFrame:
     """The keys of ``count_by_key`` that hold at least ``percent`` % of all rows; null is no key but counts as rows.
 
-    The filter is on the aggregated ``is_key``, as one on ``key`` would be pushed below the exchange and keep the
-    total from reusing it.
+    Filter and total both use the aggregated ``is_key``: a filter on ``key`` would be pushed below the exchange, and a
+    total without the column would be pruned differently, so that the total could not reuse the exchange.
     """
-    total = counts.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("t")).scalar()
+    total = counts.agg(F.coalesce(F.sum(F.when(F.col("is_key").isNotNull(), F.col("n_rows"))), F.lit(0)).alias("t")).scalar()
     return counts.where(F.col("is_key") & (F.col("n_rows") * 100 >= F.lit(percent) * total)).select("key", "n_rows")
 
 
