@@ -43,24 +43,41 @@ def adjust_for_errors(profile: DataFrame, model: DataFrame, clamp: bool = False)
     return rows.withColumns({b: F.when(F.col(b) >= F.col("__limit"), F.col(b)).otherwise(F.lit(0).cast("long")) for b in BASES}).drop("__limit")
 
 
+#: Positions in a chunk. Loci of a chunk are joined, put in order and counted in one place; only the counts travel on.
+CHUNK = 256
+
+
+def _chunked(df: DataFrame, *keys: str) -> DataFrame:
+    return df.withColumn("chunk", F.expr(f"cast(pos as bigint) div {CHUNK}")).repartition(*keys, "chrom", "chunk")
+
+
 def shared_loci(left: DataFrame, right: DataFrame, method: str = "popani", pairs: DataFrame | None = None) -> DataFrame:
-    """``sample_1, sample_2, scaffold, pos, gene, surr`` of positions that both samples of a pair cover; gene of the left.
+    """``sample_1, sample_2, scaffold, chunk, pos, gene, surr`` of positions that both samples of a pair cover; gene of the left.
 
-    pairs: ``sample_1, sample_2``; without it every pair with sample_1 < sample_2 is compared (one frame joined with
+    pairs: ``sample_1, sample_2``. With it the rows of sample_1 are first given its partners, so that the join never makes
+    more rows than the pairs need. Without it every pair with sample_1 < sample_2 is compared (one frame joined with
     itself), or every combination of the two frames if they are different.
+
+    Both sides are partitioned by scaffold and chunk, which is all that the join and the counting after it need: the
+    loci of all pairs, by far the largest intermediate result, are never shuffled. For that Spark must accept a join
+    partitioned by some of its keys; the setting is made here and changes no result.
     """
+    left.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     a = left.select(F.col("sample").alias("sample_1"), "chrom", "pos", "gene", *BASES)
     b = right.select(F.col("sample").alias("sample_2"), "chrom", "pos", *(F.col(x).alias(f"{x}_2") for x in BASES))
     if pairs is not None:
-        wanted = pairs.select(*PAIR).distinct()
-        # the pairs of a sample travel with its rows, so that loci are never paired up in vain
-        a = a.join(wanted.groupBy("sample_1").agg(F.collect_set("sample_2").alias("__others")), "sample_1")
-        joined = a.join(b, ["chrom", "pos"]).where(F.array_contains("__others", F.col("sample_2")))
+        a = a.join(pairs.select(*PAIR).distinct(), "sample_1")
+        joined = _chunked(a, "sample_2").join(_chunked(b, "sample_2"), ["sample_2", "chrom", "chunk", "pos"])
     else:
-        joined = a.join(b, ["chrom", "pos"])
+        joined = _chunked(a).join(_chunked(b), ["chrom", "chunk", "pos"])
         if left is right:
             joined = joined.where("sample_1 < sample_2")
-    return joined.select(*PAIR, F.col("chrom").alias("scaffold"), "pos", "gene", ani.of_columns(method).alias("surr"))
+    return joined.select(*PAIR, F.col("chrom").alias("scaffold"), "chunk", "pos", "gene", ani.of_columns(method).alias("surr"))
+
+
+def _running_differences(*keys: str) -> Column:
+    w = Window.partitionBy(*PAIR, *keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return F.sum(F.when(F.col("surr") == 0, 1).otherwise(0)).over(w)
 
 
 def contiguity(loci: DataFrame) -> DataFrame:
@@ -68,13 +85,24 @@ def contiguity(loci: DataFrame) -> DataFrame:
 
     A differing locus opens a block and belongs to it; uncovered positions do not end one.
     """
-    w = Window.partitionBy(*PAIR, "scaffold").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return loci.withColumn("group_id", F.sum(F.when(F.col("surr") == 0, 1).otherwise(0)).over(w))
+    return loci.withColumn("group_id", _running_differences("scaffold"))
+
+
+def _block_parts(loci: DataFrame) -> DataFrame:
+    """Loci counted by ``scaffold, group_id, gene`` within their chunk: ``n`` loci, ``s`` of them similar.
+
+    Differences are numbered within a chunk, where no shuffle is needed, and the differences of the chunks before are
+    added to the counts, so that a block that runs over several chunks has one group_id.
+    """
+    fine = loci.withColumn("__local", _running_differences("scaffold", "chunk")).groupBy(*PAIR, "scaffold", "chunk", "__local", "gene")
+    fine = fine.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("surr") > 0).alias("s"), F.count_if(F.col("surr") == 0).alias("__d"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    before = Window.partitionBy(*PAIR, "scaffold").orderBy("chunk").rangeBetween(Window.unboundedPreceding, -1)
+    return fine.withColumn("group_id", F.col("__local") + F.coalesce(F.sum("__d").over(before), F.lit(0))).drop("__local", "__d", "chunk")
 
 
 def blocks(loci: DataFrame) -> DataFrame:
     """``sample_1, sample_2, scaffold, group_id, first_pos, last_pos, length``."""
-    return contiguity(loci).groupBy(*PAIR, "scaffold", "group_id").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count(F.lit(1)).alias("length"))
+    return _block_parts(loci).groupBy(*PAIR, "scaffold", "group_id").agg(F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"), F.sum("n").alias("length"))
 
 
 def _with_genome(df: DataFrame, stb: DataFrame) -> DataFrame:
@@ -93,19 +121,13 @@ def genome_similarity(loci: DataFrame, stb: DataFrame) -> DataFrame:
     return sums.withColumn("genome_pop_ani", _percent("share_allele_pos", "total_positions"))
 
 
-def _pieces(loci: DataFrame, stb: DataFrame) -> DataFrame:
-    """Loci counted by block and gene, the finest level that all statistics need."""
-    fine = contiguity(loci).groupBy(*PAIR, "scaffold", "group_id", "gene").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("surr") > 0).alias("s"))
-    return _with_genome(fine, stb)
-
-
 def compare_genomes(loci: DataFrame, stb: DataFrame, min_gene_length: int = MIN_GENE_LENGTH) -> DataFrame:
     """All statistics per pair and genome. Gene columns are null where no gene is long enough.
 
-    One window over the loci, then one aggregation by both block and gene (grouping sets) and a last one by genome; the
-    loci are neither read nor shuffled a second time.
+    The loci are counted by block and gene where they are; then follow one aggregation by both (grouping sets) and a last
+    one by genome. The loci are neither read nor shuffled a second time.
     """
-    pieces = _pieces(loci, stb)
+    pieces = _with_genome(_block_parts(loci), stb)
     sets = pieces.groupingSets([[*map(F.col, [*PAIR, "genome", "gene"])], [*map(F.col, [*PAIR, "genome", "scaffold", "group_id"])]], *PAIR, "genome", "gene", "scaffold", "group_id")
     parts = sets.agg(F.grouping("gene").alias("is_block"), F.sum("n").alias("n"), F.sum("s").alias("s"))
     of_gene = F.col("is_block") == 0
@@ -126,7 +148,7 @@ def compare_genomes(loci: DataFrame, stb: DataFrame, min_gene_length: int = MIN_
 
 def longest_blocks(loci: DataFrame, stb: DataFrame) -> DataFrame:
     """``sample_1, sample_2, genome, max_consecutive_length``."""
-    by_block = _pieces(loci, stb).groupBy(*PAIR, "genome", "scaffold", "group_id").agg(F.sum("n").alias("n"))
+    by_block = _with_genome(_block_parts(loci), stb).groupBy(*PAIR, "genome", "scaffold", "group_id").agg(F.sum("n").alias("n"))
     return by_block.groupBy(*PAIR, "genome").agg(F.max("n").alias("max_consecutive_length"))
 
 

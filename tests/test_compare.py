@@ -85,8 +85,19 @@ def test_error_filter(spark):
 
 
 def test_a_difference_opens_a_block_and_gaps_do_not_end_one(spark):
-    loci = spark.createDataFrame([("a", "b", "s", p, "NA", s) for p, s in ((0, 1), (1, 0), (2, 1), (50, 1), (51, 0))], "sample_1 string, sample_2 string, scaffold string, pos long, gene string, surr long")
-    assert sorted((r.group_id, r.length) for r in compare.blocks(loci).collect()) == [(0, 1), (1, 3), (2, 1)]
+    loci = spark.createDataFrame([("a", "b", "s", p // 3, p, "NA", s) for p, s in ((0, 1), (1, 0), (2, 1), (50, 1), (51, 0))], "sample_1 string, sample_2 string, scaffold string, chunk long, pos long, gene string, surr long")
+    assert sorted((r.group_id, r.first_pos, r.last_pos, r.length) for r in compare.blocks(loci).collect()) == [(0, 0, 0, 1), (1, 1, 50, 3), (2, 51, 51, 1)]
+    assert sorted((r.pos, r.group_id) for r in compare.contiguity(loci).collect()) == [(0, 0), (1, 1), (2, 1), (50, 1), (51, 2)]
+
+
+def test_blocks_over_many_chunks_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(compare, "CHUNK", 3)
+    samples = {"a": rows("a", 1), "b": rows("b", 1, flips={("chr3", 9), ("chr3", 10), ("chr2", 15)})}
+    p = compare.prepare(spark.createDataFrame([r for s in samples.values() for r in s], PROFILE), 1)
+    loci = compare.shared_loci(p, p, "conani")
+    want = brute(samples["a"], samples["b"], con, 1, 2)
+    assert {r.genome: tuple(r[c] for c in STATS) for r in compare.compare_genomes(loci, stb(spark), 2).collect()} == want
+    assert {r.genome: r.max_consecutive_length for r in compare.longest_blocks(loci, stb(spark)).collect()} == {g: v[3] for g, v in want.items()}
 
 
 def test_single_pair_has_every_genome_and_zeros(spark):
