@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(master: str = "local[*]", app: str = "locusforge", **conf: str) -> SparkSession:
@@ -59,6 +59,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with its rows over all cores, for costly work per row on inputs that lie in a few large row groups.
+
+    Inputs of many partitions stay as they are, as do those whose largest partition is no more than twice its share;
+    that is read from row counts alone, which Parquet keeps beside the data. Only the others are shuffled, by ``key``.
+    """
+    cores = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    n = df.rdd.getNumPartitions()
+    if n >= 4 * cores:
+        return df
+    if n >= cores:
+        sizes = df.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+        if not sizes[1] or sizes[0] * cores <= 2 * sizes[1]:
+            return df
+    return df.repartition(3 * cores, key)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
