@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from locusforge.conventions import BASES, period, sample_name, scaffold_name
 from locusforge.llm import components, leakage, packing, quantiles, reading, runs, sql, tokens
-from locusforge.session import cut_lineage, read_table
+from locusforge.session import cut_lineage, read_table, spread
 
 
 def _micros(c: str) -> Column:
@@ -100,8 +100,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return components.connected_components(links, "genome", "first_sample", "second_sample").select(F.col("graph").alias("genome"), F.col("root").alias("group_sample"), F.col("node").alias("sample"))
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode(read_table(spark, d, "documents"))
+    return tokens.encode(_documents(spark, d))
 
 
 def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
@@ -111,16 +115,16 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Tokens and characters covered per document, from the offsets."""
-    o = tokens.offsets(read_table(spark, d, "documents"))
+    o = tokens.offsets(_documents(spark, d))
     return o.select("doc_id", F.size("starts").alias("n_tokens"), F.coalesce(F.array_max("ends"), F.lit(0)).alias("last_char"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+    return leakage.leaks(_documents(spark, d), read_table(spark, d, "eval_items"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return reading.reading_levels(read_table(spark, d, "documents"), read_table(spark, d, "reading_labels")).select("doc_id", "level")
+    return reading.reading_levels(_documents(spark, d), read_table(spark, d, "reading_labels")).select("doc_id", "level")
 
 
 def queries() -> dict:
