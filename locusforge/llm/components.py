@@ -1,10 +1,9 @@
 """Groups of records that pairwise matches link directly or through others.
 
 Union-find runs inside partitions of edges; only a spanning forest of each partition goes on. Forests are merged
-in rounds: each round brings fewer, larger sets of forests together until one partition holds the forest of one
-graph. Graphs never mix, so a partition of the last round holds at most (records of a graph - 1) edges. Graphs whose
-forest is larger than ``bound`` do not go that way; they are contracted by star rounds, which need no more
-memory than a record's neighbours in a sorted stream.
+in rounds: each round brings fewer sets of forests together until one partition holds the forest of one graph. A task
+holds the records of its forests, so graphs of more than about ``bound`` records (counted after the first step) do not
+go that way; they are contracted by star rounds, which are joins and aggregations only.
 """
 
 from __future__ import annotations
@@ -16,15 +15,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from locusforge.session import cut_lineage, shuffle_partitions
 
-#: Forest edges of one graph that one partition may hold in the last round (about 1 GB of Python objects).
-BOUND = 2_000_000
+#: Records of one graph that one task may hold (about 0.3 GB of Python objects).
+BOUND = 1_000_000
 FAN_IN = 8
 _SCHEMA = pa.schema([("graph", pa.string()), ("node", pa.string()), ("root", pa.string())])
 _DDL = "graph string, node string, root string"
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest as (graph, node, root) stars; root is the smallest record of its tree and has no row."""
+def _forest(batches: Iterator[pa.RecordBatch], own: bool = False) -> Iterator[pa.RecordBatch]:
+    """A spanning forest as (graph, node, root) stars; root is the smallest record of its tree and has a row only if ``own``."""
     ids: dict[tuple, int] = {}
     parent: list[int] = []
 
@@ -55,7 +54,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[list] = [[], [], []]
     for i, k in enumerate(names):
         root = least[find(i)]
-        if k != root:
+        if own or k != root:
             for column, v in zip(out, (*k, root[1])):
                 column.append(v)
         if len(out[0]) >= 50_000:
@@ -64,6 +63,10 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(x, pa.string()) for x in out], schema=_SCHEMA)
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _forest(batches, own=True)
+
+
 def _stars(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(graph, node, root) of every record by alternating large-star and small-star steps."""
 
@@ -96,18 +99,17 @@ def connected_components(links: DataFrame, graph: str, a: str, b: str, fan_in: i
     input gives an empty result; columns that are not named do not matter.
     """
     edges = links.select(F.col(graph).cast("string").alias("graph"), F.col(a).cast("string").alias("node"), F.col(b).cast("string").alias("root"))
-    forest = edges.dropna().where("node <> root").mapInArrow(_forest, _DDL)
+    forest = cut_lineage(edges.dropna().where("node <> root").mapInArrow(_forest, _DDL))
+    large = forest.groupBy("graph").agg(F.approx_count_distinct("node").alias("n")).where(F.col("n") > bound).select("graph")
+    some_large = not large.isEmpty()
+    small = forest.join(large, "graph", "left_anti") if some_large else forest
     sets = shuffle_partitions(links.sparkSession)
     while sets > fan_in:
         sets = -(-sets // fan_in)
         # forests of one graph come together in `sets` partitions, whatever they hold
-        forest = forest.withColumn("set", F.pmod(F.xxhash64("node", "root"), F.lit(sets))).repartition("graph", "set").drop("set").mapInArrow(_forest, _DDL)
-    forest = cut_lineage(forest)
-    large = forest.groupBy("graph").count().where(F.col("count") > bound).select("graph")
-    if large.isEmpty():
-        stars = forest.repartition("graph").mapInArrow(_forest, _DDL)
-    else:
-        rest = forest.join(large, "graph", "left_anti").repartition("graph").mapInArrow(_forest, _DDL)
-        stars = rest.unionByName(_stars(forest.join(large, "graph", "left_semi")))
-    roots = stars.select("graph", "root").distinct().select("graph", "root", F.col("root").alias("node"))
-    return stars.select("graph", "root", "node").unionByName(roots)
+        small = small.withColumn("set", F.pmod(F.xxhash64("node", "root"), F.lit(sets))).repartition("graph", "set").drop("set").mapInArrow(_forest, _DDL)
+    out = small.repartition("graph").mapInArrow(_groups, _DDL)
+    if some_large:
+        stars = _stars(forest.join(large, "graph", "left_semi"))
+        out = out.unionByName(stars).unionByName(stars.select("graph", F.col("root").alias("node"), "root").distinct())
+    return out.select("graph", "root", "node")
