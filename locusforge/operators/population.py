@@ -121,7 +121,8 @@ def similarity_matrix(comps: DataFrame, genome: str, min_total: int = 10_000, ma
     held = values.where("genome_pop_ani is not null").groupBy("sample_2").agg(F.count(F.lit(1)).alias("n"))
     n_samples = samples.agg(F.count(F.lit(1))).scalar()
     kept = held.where(n_samples - F.col("n") <= max_null).select(F.col("sample_2").alias("s"))
-    square = kept.select(F.col("s").alias("sample_1"), F.lit(1).alias("k")).join(kept.select(F.col("s").alias("sample_2"), F.lit(1).alias("k")), "k").drop("k")
+    every = kept.agg(F.sort_array(F.collect_set("s"))).scalar()  # the columns of the matrix
+    square = kept.select(F.col("s").alias("sample_1"), F.explode(every).alias("sample_2"))
     out = square.join(values, ["sample_1", "sample_2"], "left")
     return out if impute is None else out.fillna(impute, ["genome_pop_ani"])
 
