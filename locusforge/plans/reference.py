@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from locusforge.conventions import BASES, sample_name, scaffold_name
 from locusforge.functions.nullmodel import null_model as poisson_model
 from locusforge.functions.pileup import base_counts, clean_bases
 from locusforge.operators import compare, coverage, intervals, population, registry
-from locusforge.session import read_table
+from locusforge.schemas import COMPARISON, PROFILE
+from locusforge.session import ensure_checkpoint_dir, read_table
+from locusforge.streaming import ingest
 
 MIN_COV, MIN_GENE = 5, 5
 SCOPE = "gen_00000,gen_00003"
@@ -203,6 +207,41 @@ def pileup_clean_count(spark: SparkSession, d: str) -> DataFrame:
     return p.select("sample", "chrom", "pos", *base_counts(F.col("cleaned")))
 
 
+def _pileup_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A pileup line of every profile row, its sample before the scaffold, and two lines that are no pileup for each scaffold."""
+    parts = [F.repeat(F.lit(x), F.col(b).cast("int")) for b, x in zip(BASES, "aCgT")]
+    bases = F.concat(F.lit("^~,"), parts[0], F.lit("-1N"), parts[1], F.lit("$.+4acgt"), *parts[2:])
+    rows = profile(spark, d)
+    good = rows.select(F.concat_ws("\t", F.concat_ws("|", "sample", "chrom"), "pos", F.lit("N"), F.lit("1"), bases, F.lit("I")).alias("value"))
+    return good.unionByName(unique_scaffolds(spark, d).select(F.explode(F.array(F.concat("scaffold", F.lit("\t1\tN\t0")), F.lit(""))).alias("value")))
+
+
+def pileup_batch(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.pileup_profile(_pileup_lines(spark, d))
+
+
+def _shared_folder(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def pileup_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same lines as text files, taken in by a stream until none is left, and read back."""
+    place = _shared_folder(spark, "pileups")
+    _pileup_lines(spark, d).write.text(f"{place}/in")
+    ingest.stream_pileups(spark, f"{place}/in", f"{place}/out", f"{place}/state").awaitTermination()
+    return spark.read.schema(PROFILE).parquet(f"{place}/out")
+
+
+def incremental_completion(spark: SparkSession, d: str) -> DataFrame:
+    """The comparison table after its missing pairs were compared and appended; the second run finds nothing to do."""
+    place = _shared_folder(spark, "comparisons")
+    comparisons(spark, d).select(*COMPARISON.names).write.parquet(place)
+    rows, mapping = compare.prepare(profile(spark, d), MIN_COV), stb(spark, d)
+    for _ in range(2):
+        ingest.complete(_registry(spark, d), place, lambda pairs: compare.compare_genomes(compare.shared_loci(rows, rows, pairs=pairs), mapping, MIN_GENE))
+    return spark.read.schema(COMPARISON).parquet(place)
+
+
 def null_model(spark: SparkSession, d: str) -> DataFrame:
     return poisson_model(spark)
 
@@ -274,7 +313,7 @@ def chunk_split(spark: SparkSession, d: str) -> DataFrame:
 
 NAMES = """coverage_filter error_adjust shared_loci_popani shared_loci_conani shared_loci_cosani contiguity_blocks longest_blocks genome_popani gene_ani_summary
 compare_genomes compare_genomes_error_model compare_genomes_scoped compare_remaining_pairs compare_genes compare_zero_filled unique_scaffolds strain_heterogeneity
-genome_length genome_breadth breadth_matrix_full_join breadth_unpivot gene_ranges gene_loc_explode gene_range_annotate bed_segments pileup_clean_count null_model
+genome_length genome_breadth breadth_matrix_full_join breadth_unpivot gene_ranges gene_loc_explode gene_range_annotate bed_segments pileup_clean_count pileup_batch pileup_stream incremental_completion null_model
 remaining_pairs completion_table merge_distinct profile_names strain_sharing ibs_labels ibs_lists ibs_cdf ibs_distance ibs_heatmap identical_vs_popani
 similarity_matrix sampled_sharing chunk_split""".split()
 

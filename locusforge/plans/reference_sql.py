@@ -83,6 +83,9 @@ ed AS (SELECT genome, lo, hi, max(bin) FILTER (WHERE own) AS w, max(bin) FILTER
 di AS (SELECT pr.genome, pr.lo || '-' || pr.hi AS pair, coalesce((ed.w - ed.b) * {_WIDTH}, -1.0) AS distance FROM pr LEFT JOIN ed ON ed.genome = pr.genome AND ed.lo = pr.lo AND ed.hi = pr.hi)"""
 
 
+_PILEUP = "SELECT sample || '|' || chrom AS chrom, CAST(pos AS INTEGER) AS pos, 'NA' AS gene, CAST(A AS INTEGER) AS A, CAST(C AS INTEGER) AS C, CAST(G AS INTEGER) AS G, CAST(T AS INTEGER) AS T FROM p"
+
+
 def oracle_sql() -> dict[str, str]:
     counts = "CAST(A AS BIGINT) AS A, CAST(C AS BIGINT) AS C, CAST(G AS BIGINT) AS G, CAST(T AS BIGINT) AS T"
     pop1, pop2 = q.POPULATIONS
@@ -116,6 +119,10 @@ def oracle_sql() -> dict[str, str]:
         "gene_range_annotate": _with("p", "r", "w AS (SELECT DISTINCT chrom, pos FROM p)", "k AS (SELECT w.chrom, w.pos, r.gene, row_number() OVER (PARTITION BY w.chrom, w.pos ORDER BY r.s0 DESC NULLS LAST, r.gene DESC NULLS LAST) AS rn FROM w LEFT JOIN r ON r.scaffold = w.chrom AND w.pos BETWEEN r.s0 AND r.e0)") + "SELECT chrom, pos, coalesce(gene, 'NA') AS gene FROM k WHERE rn = 1",
         "bed_segments": _with("b", "m AS (SELECT scaffold, max(e0) AS n FROM b GROUP BY 1)", "k AS (SELECT scaffold, n, unnest(range(0, n, 50000)) AS s0 FROM m WHERE n > 0)") + "SELECT scaffold, CAST(s0 AS BIGINT) AS \"start\", CAST(least(s0 + 50000, n) AS BIGINT) AS \"end\" FROM k",
         "pileup_clean_count": _with("p") + f"SELECT sample, chrom, pos, {counts} FROM p",
+        "pileup_batch": _with("p") + _PILEUP,
+        "pileup_stream": _with("p") + _PILEUP,
+        "incremental_completion": _with("p", "f", "c", "g", "rp", _POP.replace("l AS (", "l1 AS (", 1), "l AS (SELECT l1.* FROM l1 JOIN rp ON rp.profile_1 = l1.sample_1 AND rp.profile_2 = l1.sample_2)", "s", "sh", _COMPARE)
+        + "SELECT * FROM cg UNION ALL SELECT genome, total_positions, share_allele_pos, genome_pop_ani, max_consecutive_length, shared_genes_count, identical_gene_count, perc_id_genes, sample_1, sample_2 FROM c",
         "null_model": """WITH n AS (SELECT unnest(range(1, 10001)) AS cov), k AS (SELECT unnest(range(0, 30)) AS k),
 t AS (SELECT cov, k, exp(-cov * 0.001 / 3 + CASE WHEN k = 0 THEN 0 ELSE k * ln(cov * 0.001 / 3) END - lgamma(k + 1)) AS px FROM n CROSS JOIN k),
 u AS (SELECT cov, k, 1 - sum(px) OVER (PARTITION BY cov ORDER BY k ROWS UNBOUNDED PRECEDING) + px AS at_least FROM t)
