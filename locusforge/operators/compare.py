@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from locusforge.conventions import BASES
 from locusforge.functions import ani
+from locusforge.session import shuffle_partitions
 
 PAIR = ["sample_1", "sample_2"]
 NO_NAME = "NA"
@@ -44,11 +45,15 @@ def adjust_for_errors(profile: DataFrame, model: DataFrame, clamp: bool = False)
 
 
 #: Positions in a chunk. Loci of a chunk are joined, put in order and counted in one place; only the counts travel on.
-CHUNK = 256
+CHUNK = 128
 
 
 def _chunked(df: DataFrame, *keys: str) -> DataFrame:
-    return df.withColumn("chunk", F.expr(f"cast(pos as bigint) div {CHUNK}")).repartition(*keys, "chrom", "chunk")
+    """Partitioned by scaffold and chunk. The number of partitions is stated, as the join makes many times the rows that it
+    reads and the size of its input is no measure for joining partitions again."""
+    spark = df.sparkSession
+    n = max(shuffle_partitions(spark), 4 * spark.sparkContext.defaultParallelism)
+    return df.withColumn("chunk", F.expr(f"cast(pos as bigint) div {CHUNK}")).repartition(n, *keys, "chrom", "chunk")
 
 
 def shared_loci(left: DataFrame, right: DataFrame, method: str = "popani", pairs: DataFrame | None = None) -> DataFrame:
@@ -75,8 +80,8 @@ def shared_loci(left: DataFrame, right: DataFrame, method: str = "popani", pairs
     return joined.select(*PAIR, F.col("chrom").alias("scaffold"), "chunk", "pos", "gene", ani.of_columns(method).alias("surr"))
 
 
-def _running_differences(*keys: str) -> Column:
-    w = Window.partitionBy(*PAIR, *keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+def _running_differences(*keys: str, first: str | None = None) -> Column:
+    w = Window.partitionBy(*([first] if first else []), *PAIR, *keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return F.sum(F.when(F.col("surr") == 0, 1).otherwise(0)).over(w)
 
 
@@ -94,7 +99,9 @@ def _block_parts(loci: DataFrame) -> DataFrame:
     Differences are numbered within a chunk, where no shuffle is needed, and the differences of the chunks before are
     added to the counts, so that a block that runs over several chunks has one group_id.
     """
-    fine = loci.withColumn("__local", _running_differences("scaffold", "chunk")).groupBy(*PAIR, "scaffold", "chunk", "__local", "gene")
+    # a number first, so that the sort rarely compares the names
+    keyed = loci.withColumn("__key", F.xxhash64(*PAIR, "scaffold", "chunk"))
+    fine = keyed.withColumn("__local", _running_differences("scaffold", "chunk", first="__key")).groupBy(*PAIR, "scaffold", "chunk", "__local", "gene")
     fine = fine.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("surr") > 0).alias("s"), F.count_if(F.col("surr") == 0).alias("__d"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
     before = Window.partitionBy(*PAIR, "scaffold").orderBy("chunk").rangeBetween(Window.unboundedPreceding, -1)
     return fine.withColumn("group_id", F.col("__local") + F.coalesce(F.sum("__d").over(before), F.lit(0))).drop("__local", "__d", "chunk")
