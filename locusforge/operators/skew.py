@@ -44,7 +44,7 @@ def tree_aggregate(
 def count_by_key(df: DataFrame, key: Column, spread: Column, fan_in: int = 32) -> DataFrame:
     """``key, n_rows, is_key`` for every key; null comes with is_key false; ``spread`` is any non-negative long of the row."""
     rows = df.select(key.alias("key"), spread.alias("__s"))
-    return tree_aggregate(rows, ["key"], F.col("__s"), {"n_rows": (F.count(F.lit(1)), "sum"), "is_key": (F.max(F.col("key").isNotNull()), "max")}, fan_in, 1)
+    return tree_aggregate(rows, ["key"], F.col("__s"), {"n_rows": (F.count(F.lit(1)), "sum"), "is_key": (F.max(F.col("key").isNotNull()), "max")}, fan_in, 2)
 
 
 def heavy_keys(counts: DataFrame, percent: int = 3) -> DataFrame:
