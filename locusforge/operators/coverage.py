@@ -56,3 +56,10 @@ def unpivot_breadth(matrix: DataFrame, fill: float | None = 0.0) -> DataFrame:
     """``genome, sample, breadth`` of a matrix; nulls become ``fill``."""
     long = matrix.unpivot("genome", [c for c in matrix.columns if c != "genome"], "sample", "breadth")
     return long if fill is None else long.fillna(fill, ["breadth"])
+
+
+def long_breadth(breadth: DataFrame, samples: DataFrame) -> DataFrame:
+    """``genome, sample, breadth`` of every genome of the table with every sample of ``samples``; 0 where there is none."""
+    known = breadth.groupBy("genome", "sample").agg(F.max("breadth").alias("breadth"))
+    every = breadth.select("genome").distinct().crossJoin(samples.select("sample").distinct())
+    return every.join(known, ["genome", "sample"], "left").fillna(0.0, ["breadth"])

@@ -16,7 +16,7 @@ from locusforge.streaming import ingest
 
 MIN_COV, MIN_GENE = 5, 5
 SCOPE = "gen_00000,gen_00003"
-#: Samples that stand as columns of the breadth matrix, which fixes its schema.
+#: Samples that the SQL of the breadth matrix has as columns; the queries take all samples of the profile.
 MATRIX_SAMPLES = ["S0000000", "S0000001", "S0000002", "S0000003"]
 SINGLE_PAIR = ("S0000000", "S0000001")
 GENOME, POPULATIONS = "gen_00000", ("lowland_a", "lowland_b")
@@ -165,11 +165,16 @@ def genome_breadth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def breadth_matrix_full_join(spark: SparkSession, d: str) -> DataFrame:
-    return coverage.breadth_matrix(genome_breadth(spark, d).where("genome is not null"), MATRIX_SAMPLES)
+    """A column for every sample of the profile, in order of their names; only the names are collected."""
+    breadth = genome_breadth(spark, d).where("genome is not null")
+    names = sorted(r[0] for r in profile(spark, d).select("sample").distinct().collect())
+    return coverage.breadth_matrix(breadth, names) if names else breadth.select("genome").distinct()
 
 
 def breadth_unpivot(spark: SparkSession, d: str) -> DataFrame:
-    return coverage.unpivot_breadth(breadth_matrix_full_join(spark, d))
+    """Every covered genome with every sample of the profile, zeros included; the matrix is never made."""
+    breadth = genome_breadth(spark, d).where("genome is not null")
+    return coverage.long_breadth(breadth, profile(spark, d).select("sample").distinct())
 
 
 def _gene_ranges(spark: SparkSession, d: str) -> DataFrame:
