@@ -30,3 +30,8 @@ def period(c: Column | str) -> Column:
 def coverage() -> Column:
     """A+C+G+T as a long; null if one of them is null."""
     return sum((F.col(b).cast("long") for b in BASES[1:]), F.col(BASES[0]).cast("long"))
+
+
+def quoted(name: str) -> str:
+    """A column name taken from the data, as an expression can name it."""
+    return "`" + name.replace("`", "``") + "`"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from locusforge.conventions import quoted
+
 #: Histogram of run lengths: edges 0..CDF_TOP in CDF_EDGES steps.
 CDF_TOP, CDF_EDGES = 50_000, 10_000
 
@@ -44,7 +46,7 @@ def ibs_runs(comps: DataFrame, pop: DataFrame, max_perc_id_genes: float = 15.0,
 def ibs_lists(runs: DataFrame, labels: list[str]) -> DataFrame:
     """One row per genome and a column per label holding the sorted run lengths; missing ones hold [-1]."""
     wide = runs.groupBy("genome").pivot("label", labels).agg(F.sort_array(F.collect_list("max_consecutive_length")))
-    return wide.select("genome", *(F.when(F.size(c) > 0, F.col(f"`{c}`")).otherwise(F.array(F.lit(-1).cast("long"))).alias(c) for c in labels))
+    return wide.select("genome", *(F.when(F.size(quoted(c)) > 0, F.col(quoted(c))).otherwise(F.array(F.lit(-1).cast("long"))).alias(c) for c in labels))
 
 
 def survival(runs: DataFrame, keys: list[str]) -> DataFrame:

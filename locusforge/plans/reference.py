@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from locusforge.conventions import BASES, sample_name, scaffold_name
+from locusforge.conventions import BASES, quoted, sample_name, scaffold_name
 from locusforge.functions.nullmodel import null_model as poisson_model
 from locusforge.functions.pileup import base_counts, clean_bases
 from locusforge.operators import compare, coverage, intervals, population, registry
@@ -20,6 +20,7 @@ SCOPE = "gen_00000,gen_00003"
 MATRIX_SAMPLES = ["S0000000", "S0000001", "S0000002", "S0000003"]
 SINGLE_PAIR = ("S0000000", "S0000001")
 GENOME, POPULATIONS = "gen_00000", ("lowland_a", "lowland_b")
+#: Labels that the SQL of the lists has as columns; the query takes all labels that occur.
 IBS_LABELS = ["within_population_lowland_a|lowland_a", "between_population_lowland_a|lowland_b", "within_population_lowland_b|lowland_b"]
 #: Profiles cover a thousandth of their genomes or less.
 MIN_BREADTH = 0.00005
@@ -282,8 +283,13 @@ def ibs_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ibs_lists(spark: SparkSession, d: str) -> DataFrame:
-    lists = population.ibs_lists(_runs(spark, d), IBS_LABELS)
-    return lists.select("genome", *(F.concat_ws(",", F.transform(F.col(f"`{c}`"), lambda x: x.cast("string"))).alias(f"list_{i}") for i, c in enumerate(IBS_LABELS)))
+    """A column for every label that occurs, under its name and in order of names; only the labels are collected."""
+    runs = _runs(spark, d)
+    labels = sorted(r[0] for r in runs.select("label").distinct().collect())
+    if not labels:
+        return runs.select("genome").distinct()
+    lists = population.ibs_lists(runs, labels)
+    return lists.select("genome", *(F.concat_ws(",", F.transform(F.col(quoted(c)), lambda x: x.cast("string"))).alias(c) for c in labels))
 
 
 def ibs_cdf(spark: SparkSession, d: str) -> DataFrame:

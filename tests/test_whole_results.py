@@ -32,3 +32,19 @@ def test_breadth_has_every_sample(spark, tmp_path):
     matrix = reference.breadth_matrix_full_join(spark, d)
     assert matrix.columns == ["genome", "S0000000", "bare", "other", "third"]
     assert {(r.genome, s): round(r[s] or 0.0, 9) for r in matrix.collect() for s in matrix.columns[1:]} == {k: round(v, 9) for k, v in covered.items()}
+
+
+def test_ibs_lists_have_every_label(spark, tmp_path):
+    people = {"A": "lowland_a", "B": "lowland_a", "C": "coast", "D": "x.y`z", "E": None}
+    data = [("g1", "A", "B", 9), ("g1", "A", "C", 5), ("g1", "B", "C", 4), ("g1", "C", "D", 3), ("g2", "A", "D", 8), ("g2", "A", "E", 2)]
+    save(spark, tmp_path, "comparison", [(g, 20000, 1, 0.5, v, 1, 1, 1.0, a, b, AT) for g, a, b, v in data], "genome string, total_positions long, share_allele_pos long, genome_pop_ani double, max_consecutive_length long, shared_genes_count long, identical_gene_count long, perc_id_genes double, sample_1 string, sample_2 string, compared_at timestamp")
+    save(spark, tmp_path, "sample_population", list(people.items()), "sample string, population string")
+    want = {}
+    for g, a, b, v in data:
+        p = sorted(filter(None, (people[a], people[b])))
+        if len(p) == 2:
+            want.setdefault((g, ("within" if p[0] == p[1] else "between") + "_population_" + "|".join(p)), []).append(v)
+    got = reference.ibs_lists(spark, str(tmp_path))
+    labels = sorted({k for _, k in want})
+    assert len(labels) == 4 and got.columns == ["genome", *labels]
+    assert {(r[0], k): x for r in got.collect() for k, x in zip(labels, r[1:])} == {(g, k): ",".join(map(str, sorted(want.get((g, k), [-1])))) for g in ("g1", "g2") for k in labels}
