@@ -14,8 +14,8 @@ def poisson_limits(error_rate: float = 0.001, max_total_reads: int = 10_000, p_t
     out = []
     for n in range(1, max_total_reads + 1):
         mean = n * error_rate / 3
-        term = below = math.exp(-mean)  # P(X < k + 1), starting at k = 0
-        k = 0
+        k = max(0, int(mean - 20 * math.sqrt(mean)))  # less has no weight; exp(-mean) would be 0 at great means
+        term = below = math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) if k else math.exp(-mean)  # P(X < k + 1)
         while 1 - below > p_threshold:
             k += 1
             term *= mean / k

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from locusforge.conventions import BASES, quoted, sample_name, scaffold_name
+from locusforge.conventions import BASES, coverage as base_coverage, quoted, sample_name, scaffold_name
 from locusforge.functions.nullmodel import null_model as poisson_model
 from locusforge.functions.pileup import base_counts, clean_bases
 from locusforge.operators import compare, coverage, intervals, population, registry
@@ -24,7 +24,8 @@ GENOME, POPULATIONS = "gen_00000", ("lowland_a", "lowland_b")
 IBS_LABELS = ["within_population_lowland_a|lowland_a", "between_population_lowland_a|lowland_b", "within_population_lowland_b|lowland_b"]
 #: Profiles cover a thousandth of their genomes or less.
 MIN_BREADTH = 0.00005
-#: Error limits of a tenth of the coverage up to this one; rows covered more lose all counts.
+#: The SQL of the error filter has limits of a tenth of the coverage up to this one and drops all counts of rows covered more;
+#: the queries take the Poisson null model instead.
 MODEL_TOP = 99
 
 
@@ -68,12 +69,14 @@ def _registry(spark: SparkSession, d: str) -> DataFrame:
     return latest.select("profile_name", *(f"r.{c}" for c in rest))
 
 
-def _model(spark: SparkSession) -> DataFrame:
-    return spark.range(MODEL_TOP + 1).select(F.col("id").alias("cov"), F.expr("id div 10").alias("max_error_count"))
+def _model(spark: SparkSession, d: str) -> DataFrame:
+    """The Poisson null model up to the greatest coverage of the table, so that no row is without a limit."""
+    top = read_table(spark, d, "profile").agg(F.max(base_coverage())).first()[0]
+    return poisson_model(spark, max_total_reads=max(top or 0, 1))
 
 
 def _loci(spark: SparkSession, d: str, method: str = "popani", model: bool = False) -> DataFrame:
-    rows = compare.prepare(profile(spark, d), MIN_COV, _model(spark) if model else None)
+    rows = compare.prepare(profile(spark, d), MIN_COV, _model(spark, d) if model else None)
     return compare.shared_loci(rows, rows, method)
 
 
@@ -82,7 +85,7 @@ def coverage_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def error_adjust(spark: SparkSession, d: str) -> DataFrame:
-    return compare.prepare(profile(spark, d), MIN_COV, _model(spark)).select("sample", "chrom", "pos", *BASES)
+    return compare.prepare(profile(spark, d), MIN_COV, _model(spark, d)).select("sample", "chrom", "pos", *BASES)
 
 
 def _loci_summary(loci: DataFrame) -> DataFrame:

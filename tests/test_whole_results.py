@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime
 
+from locusforge.functions.nullmodel import poisson_limits
 from locusforge.plans import reference
 
 AT = datetime(2024, 1, 1)
@@ -48,3 +50,26 @@ def test_ibs_lists_have_every_label(spark, tmp_path):
     labels = sorted({k for _, k in want})
     assert len(labels) == 4 and got.columns == ["genome", *labels]
     assert {(r[0], k): x for r in got.collect() for k, x in zip(labels, r[1:])} == {(g, k): ",".join(map(str, sorted(want.get((g, k), [-1])))) for g in ("g1", "g2") for k in labels}
+
+
+def limit(cov):
+    """Greatest k that at least that many errors reach with a probability of more than 5 %."""
+    mean, k, below = cov * 0.001 / 3, 0, 0.0
+    while 1 - (below := below + math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1))) > 0.05:
+        k += 1
+    return k
+
+
+def test_error_filter_keeps_deep_loci(spark, tmp_path):
+    rows = [(s, "x", p, *counts) for s, turn in (("S0", False), ("S1", True)) for p, n in enumerate((6, 99, 100, 160, 2000, 9999, 10_001, 25_000)) for counts in [(1, n - 9, 2, 6) if n > 9 else (n, 0, 0, 0)] for counts in [counts[::-1] if turn else counts]]
+    d = profile_tables(spark, tmp_path, rows)
+    want = {(s, p): tuple(n if n >= limit(sum(c)) else 0 for n in c) for s, _, p, *c in rows}
+    assert max(limit(sum(c)) for *_, c in ((s, p, c) for s, _, p, *c in rows)) > 7 and all(map(any, want.values()))
+    assert {(r["sample"], r.pos): (r.A, r.C, r.G, r.T) for r in reference.error_adjust(spark, d).collect()} == want
+    r = reference.compare_genomes_error_model(spark, d).first()
+    assert (r.total_positions, r.share_allele_pos) == (8, 0)  # no two top bases are the same, however deep
+
+
+def test_null_model_of_great_coverage_ends():
+    limits = poisson_limits(error_rate=0.9, max_total_reads=4000)
+    assert len(limits) == 4000 and limits[-1][1] == 1257
