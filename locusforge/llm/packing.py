@@ -4,7 +4,8 @@ Items are sharded by their leading term; a shard holds a bounded number of items
 terms. The longest unused item seeds a container; its unused neighbours, best score first and longer before shorter,
 fill the room that is left, and items without a common term come last, so that relatedness never costs room. Containers
 that a shard could not fill are opened again and their items packed in a further, smaller round, until one shard
-holds them or a round brings nothing. Items longer than the capacity are divided into full containers and one rest.
+holds them. As soon as a round brings little, the next ones deal the items by a hash of the round, so that they meet others,
+until such a round brings nothing either. Items longer than the capacity are divided into full containers and one rest.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from locusforge.session import cut_lineage
 
 #: Items in a shard, on average; containers filled to this share stay as they are.
 SHARD, FULL = 2000, 0.995
+#: A round brings little if more than this share of its items lies in containers that are not full.
+LITTLE = 0.9
 #: Ways in which the shard counts of a leading term are spread, so that a hot term is not joined in one task.
 SALTS = 16
 K1, B = 1.2, 0.75
@@ -92,11 +95,16 @@ def _packer(capacity: int, round_no: int):
     return pack
 
 
-def _sharded(pieces: DataFrame, total: int) -> DataFrame:
-    """``pieces`` with a shard number: terms with few items share shards, a term with many is split over several."""
+def _sharded(pieces: DataFrame, total: int, mix: int | None = None) -> DataFrame:
+    """``pieces`` with a shard number: terms with few items share shards, a term with many is split over several.
+
+    With ``mix`` the items are dealt by a hash salted with it, whatever their leading terms.
+    """
     shards = max(1, -(-total // SHARD))
     if shards == 1:
         return pieces.withColumn("shard", F.lit(0).cast("long"))
+    if mix is not None:
+        return pieces.withColumn("shard", F.pmod(F.xxhash64("item", "piece", F.lit(mix)), F.lit(shards)))
     salt = F.pmod(F.xxhash64("item", "piece"), F.lit(SALTS)).cast("int")
     parts = pieces.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / SHARD).alias("parts"))
     parts = parts.select("lead", "parts", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
@@ -104,6 +112,10 @@ def _sharded(pieces: DataFrame, total: int) -> DataFrame:
     return pieces.withColumn("salt", salt).join(parts, ["lead", "salt"]).withColumn("shard", F.pmod(F.xxhash64("lead", part), F.lit(shards))).drop("salt", "parts")
 
 
+def _places(packed: DataFrame) -> DataFrame:
+    return packed.select("item", "piece", "piece_start", F.col("length").alias("piece_length"), "batch_id", "batch_length")
+
+
 def pack(items: DataFrame, capacity: int) -> DataFrame:
     """``item, piece, piece_start, piece_length, batch_id, batch_length``: where every item lies.
 
@@ -119,18 +131,22 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     done = full.select("item", "piece", (F.col("piece") * capacity).alias("piece_start"), F.lit(capacity).cast("long").alias("piece_length"), F.concat_ws("#", "item", F.col("piece").cast("string")).alias("batch_id"), F.lit(capacity).cast("long").alias("batch_length"))
     loose = whole.where(f"total % {capacity} > 0").select("item", "lead", "terms", F.col("full").alias("piece"), (F.col("full") * capacity).alias("piece_start"), F.expr(f"total % {capacity}").alias("length"))
     loose = cut_lineage(loose)
-    left, round_no = loose.count(), 0
+    left, round_no, mixed = loose.count(), 0, False
+    best, fewest = None, math.inf  # the containers that hold the loose items so far, and their number
     while left:
-        packed = cut_lineage(_sharded(loose, left).groupBy("shard").applyInArrow(_packer(capacity, round_no), _DDL))
-        last = left <= SHARD
-        open_ = packed.where(F.lit(not last) & (F.col("batch_length") < int(FULL * capacity)))
-        again = open_.count()
-        if again > 0.9 * left:  # nothing gained by another round
-            open_, again = open_.limit(0), 0
-            last = True
-        closed = packed if last else packed.where(F.col("batch_length") >= int(FULL * capacity))
-        done = done.unionByName(closed.select("item", "piece", "piece_start", F.col("length").alias("piece_length"), "batch_id", "batch_length"))
-        loose, left, round_no = open_.select("item", "lead", "terms", "piece", "piece_start", "length"), again, round_no + 1
+        packed = cut_lineage(_sharded(loose, left, round_no if mixed else None).groupBy("shard").applyInArrow(_packer(capacity, round_no), _DDL))
+        is_open = F.col("batch_length") < int(FULL * capacity)
+        each = packed.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.first("batch_length").alias("batch_length"))
+        again, n, n_open = each.agg(F.coalesce(F.sum(F.when(is_open, F.col("n"))), F.lit(0)), F.count(F.lit(1)), F.count_if(is_open)).first()
+        little = again > LITTLE * left
+        if left <= SHARD or (little and n >= fewest and mixed):  # one shard, or nothing gained by mixing
+            done = done.unionByName(_places(best if fewest <= n else packed))
+            break
+        if not little or n < fewest:
+            done = done.unionByName(_places(packed.where(~is_open)))
+            best, fewest, left = packed.where(is_open), n_open, again
+            loose = best.select("item", "lead", "terms", "piece", "piece_start", "length")
+        mixed, round_no = mixed or little, round_no + 1
     return done
 
 
