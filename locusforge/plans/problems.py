@@ -22,8 +22,8 @@ def _current_stb(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    profile = skew.count_by_key(read_table(spark, d, "profile"), scaffold_name("chrom"), F.expr("cast(pos as bigint) div 4096"))
-    stb = skew.count_by_key(read_table(spark, d, "stb"), F.col("genome"), F.expr("pmod(xxhash64(scaffold), 64)"))
+    profile = skew.count_by_key(read_table(spark, d, "profile"), scaffold_name("chrom"))
+    stb = skew.count_by_key(read_table(spark, d, "stb"), F.col("genome"))
     return (
         skew.heavy_keys(profile, HEAVY_PERCENT).select(F.lit("profile.chrom").alias("key_field"), F.col("key").alias("key_value"))
         .unionByName(skew.heavy_keys(stb, HEAVY_PERCENT).select(F.lit("stb.genome").alias("key_field"), F.col("key").alias("key_value")))

@@ -11,17 +11,37 @@ from locusforge.operators import references, skew
 
 def test_tree_sums_match_for_hot_null_and_single_keys(spark):
     r = random.Random(1)
-    rows = [(r.choice(["hot"] * 6 + ["a", "b", None]), r.choice([None, r.randrange(10**6)]), r.choice([None, 1, 5])) for _ in range(2000)]
-    df = spark.createDataFrame(rows, "key string, pos int, cov int").withColumn("n_rows", F.lit("clash"))
-    for fan_in, rounds in ((2, 0), (2, 5), (32, 2)):
-        out = skew.tree_aggregate(df.drop("n_rows"), ["key"], F.expr("pos div 1000"), {"n": (F.count(F.lit(1)), "sum"), "top": (F.max("pos"), "max"), "least": (F.min("cov"), "min")}, fan_in, rounds)
-        assert {x.key: (x.n, x.top, x.least) for x in out.collect()} == {k: (len(v := [x for x in rows if x[0] == k]), max(x[1] or -1 for x in v), min(x[2] or 9 for x in v)) for k in {x[0] for x in rows}}
-    summary = {x.scaffold: (x.n_rows, x.covered_positions, x.n_complete, x.coverage_sum) for x in skew.position_summary(df.withColumnRenamed("key", "scaffold")).collect()}
+    rows = [(r.choice(["hot"] * 6 + ["a", "b", None]), r.choice([None, r.randrange(10**6), -r.randrange(1000)]), r.choice([None, 1, 5])) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "key string, pos int, cov int").withColumn("n_rows", F.lit("clash")).withColumn("__node", F.lit("clash")).repartition(7)
+    for fan_in, partitions in ((2, None), (2, 60), (32, None)):
+        out = skew.tree_aggregate(df.drop("n_rows"), ["key"], {"n": (F.count(F.lit(1)), "sum"), "top": (F.max("pos"), "max"), "least": (F.min("cov"), "min")}, fan_in, partitions)
+        assert {x.key: (x.n, x.top, x.least) for x in out.collect()} == {k: (len(v := [x for x in rows if x[0] == k]), max(-(10**9) if x[1] is None else x[1] for x in v), min(x[2] or 9 for x in v)) for k in {x[0] for x in rows}}
+    summary = {x.scaffold: (x.n_rows, x.covered_positions, x.n_complete, x.coverage_sum) for x in skew.position_summary(df.withColumnRenamed("key", "scaffold"), 2).collect()}
     assert summary == {k: (len(v := [x for x in rows if x[0] == k]), len({x[1] for x in v} - {None}), sum(x[2] is not None for x in v), sum(x[2] or 0 for x in v)) for k in ("hot", "a", "b")}
-    counts = skew.count_by_key(df, F.col("key"), F.col("pos"))
+    counts = skew.count_by_key(df, F.col("key"))
     n = {k: sum(x[0] == k for x in rows) for k in ("hot", "a", "b")}
     assert {x.key for x in skew.heavy_keys(counts, 20).collect()} == {k for k in n if n[k] * 100 >= 20 * len(rows)}
-    assert skew.heavy_keys(skew.count_by_key(df.limit(0), F.col("key"), F.col("pos")), 3).isEmpty()
+    assert skew.heavy_keys(skew.count_by_key(df.limit(0), F.col("key")), 3).isEmpty()
+
+
+def test_no_round_brings_more_than_fan_in_states_of_a_hot_key_together(spark, monkeypatch):
+    """One key holds 90 % of the rows at ten positions; the states that meet are counted in every grouping of the tree."""
+    fan_in, leaves, met = 4, 30, []
+    rows = spark.range(0, 9000, 1, leaves).select(F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 50)).alias("scaffold"), (F.col("id") % 10).cast("int").alias("pos"), F.lit(2).alias("cov"))
+    states = {leaf: {(k, p // 256) for k, p, _ in map(tuple, rows.where(F.spark_partition_id() == leaf).collect())} for leaf in range(leaves)}
+    for r in range(skew.rounds_for(leaves, fan_in)):  # one state a key and leaf, then one a key and node
+        nodes, into = {}, {}
+        for node, keys in states.items():
+            for k in keys:
+                into[node // fan_in, k] = into.get((node // fan_in, k), 0) + 1
+            nodes.setdefault(node // fan_in, set()).update(keys)
+        met.append(max(into.values()))
+        states = nodes
+    assert met == [4, 4, 2] and list(states) == [0]
+    plan = skew.position_states(rows, fan_in)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f"div {fan_in}") >= 2 and plan.count("Aggregate [scaffold") == 3
+    got = {r.scaffold: (r.n_rows, r.covered_positions, r.coverage_sum) for r in skew.position_summary(rows, fan_in).collect()}
+    assert got["hot"] == (8100, 9, 16200) and sum(v[0] for v in got.values()) == 9000
 
 
 def test_genome_summary_counts_a_scaffold_of_two_genomes_twice(spark):
