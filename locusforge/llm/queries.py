@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from locusforge.conventions import BASES, sample_name, scaffold_name
+from locusforge.conventions import BASES, coverage, sample_name, scaffold_name
 from locusforge.llm import components, leakage, packing, quantiles, reading, runs, sql, tokens
-from locusforge.session import cut_lineage, read_table, spread
+from locusforge.session import read_table, shuffle_partitions, spread
 
 
 def _micros(c: str) -> Column:
@@ -62,36 +62,26 @@ PERCENTS = (25, 50, 75, 90, 99)
 METRICS, ALL_MONTHS = (*BASES, "sum"), 999999
 
 
-def _monthly_digests(spark: SparkSession, d: str) -> DataFrame:
-    """``key, month, metric, node, n`` of each scaffold; written once, as months, scaffolds and genomes all build on it."""
-    month = F.coalesce(F.year("loaded_at") * 100 + F.month("loaded_at"), F.lit(0)).alias("month")
-    rows = read_table(spark, d, "profile").where("chrom is not null").select(scaffold_name("chrom").alias("key"), month, *BASES)
-    values = ", ".join(f"{i}Y, cast({b} as bigint)" for i, b in enumerate(BASES))
-    stacked = rows.selectExpr("key", "month", f"stack({len(METRICS)}, {values}, {len(BASES)}Y, {' + '.join(f'cast({b} as bigint)' for b in BASES)}) as (metric, value)")
-    leaves = stacked.select("key", "month", "metric", quantiles.leaf(F.col("value")).alias("node"), F.lit(1).alias("n"))
-    return cut_lineage(quantiles.digest(leaves, ["key", "month", "metric"], ["key", "month"]))
-
-
-def _all_months(monthly: DataFrame) -> DataFrame:
-    return quantiles.digest(monthly.select("key", "metric", "node", "n"), ["key", "metric"], ["key", "metric"]).select("key", F.lit(ALL_MONTHS).alias("month"), "metric", "node", "n")
+def _percentile_rows(scope: str, states: DataFrame) -> DataFrame:
+    p = quantiles.percentiles(states, ["key", "month"], ALL_MONTHS, PERCENTS)
+    month = F.when(F.col("month") == ALL_MONTHS, "all").when(F.col("month") == 0, "none").otherwise(F.format_string("%04d-%02d", F.expr("month div 100"), F.expr("month % 100")))
+    metric = F.element_at(F.array(*map(F.lit, METRICS)), F.col("metric") + 1)
+    return p.select(F.lit(scope).alias("scope"), "key", month.alias("month"), metric.alias("metric"), "n", *(f"p{x}" for x in PERCENTS), quantiles.rank_error("n").alias("rank_error"))
 
 
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of A, C, G, T and their sum per scaffold and genome, by month and (month ``all``) of all months merged
-    from the monthly digests. Genomes are reached through the rows of stb that are not removed."""
-    scaffolds = _monthly_digests(spark, d)
+    from the monthly digests. Genomes are reached through the rows of stb that are not removed; their digests are those of
+    their scaffolds added up. Each input partition shuffles one packed row per scaffold and month."""
+    profile = read_table(spark, d, "profile").where("chrom is not null")
+    month = F.coalesce(F.year("loaded_at") * 100 + F.month("loaded_at"), F.lit(0)).alias("month")
+    counts = profile.select(scaffold_name("chrom").alias("key"), month, *BASES, coverage().alias("sum"))
+    local = quantiles.gather_tree(quantiles.pack(counts, ["key", "month"], METRICS), ["key", "month"], profile.rdd.getNumPartitions())
+    scaffolds = local.repartition("key")
     stb = read_table(spark, d, "stb").where("removed_at is null and genome is not null and scaffold is not null").select(scaffold_name("scaffold").alias("key"), "genome").distinct()
-    of_genomes = scaffolds.join(stb, "key").select(F.col("genome").alias("key"), "month", "metric", "node", "n")
-    genomes = cut_lineage(quantiles.digest(of_genomes, ["key", "month", "metric"], ["key", "month", "metric"]))
-    month = F.when(F.col("month") == ALL_MONTHS, "all").when(F.col("month") == 0, "none").otherwise(F.format_string("%04d-%02d", F.expr("month div 100"), F.expr("month % 100")))
-    rank_error = F.expr(f"cast(floor(n * {quantiles.ERROR} / {quantiles.LEVELS}) * {quantiles.LEVELS} as bigint)")
-    keys, out = ["key", "month", "metric"], None
-    for scope, monthly in (("scaffold", scaffolds), ("genome", genomes)):
-        for part in (monthly, _all_months(monthly)):
-            p = quantiles.percentiles(part, keys, PERCENTS)
-            p = p.select(F.lit(scope).alias("scope"), "key", month.alias("month"), F.element_at(F.array(*map(F.lit, METRICS)), F.col("metric") + 1).alias("metric"), "n", *(f"p{x}" for x in PERCENTS), rank_error.alias("rank_error"))
-            out = p if out is None else out.unionByName(p)
-    return out
+    of_genomes = quantiles.gather(scaffolds.join(stb, "key").select(F.col("genome").alias("key"), "month", "state"), ["key", "month"])
+    genomes = quantiles.gather_tree(of_genomes, ["key", "month"], shuffle_partitions(spark)).repartition("key")
+    return _percentile_rows("scaffold", scaffolds).unionByName(_percentile_rows("genome", genomes))
 
 
 #: ANI in percent from which two samples carry the same strain, and positions that must be exceeded.

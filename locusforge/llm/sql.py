@@ -34,7 +34,7 @@ SELECT genome, min(t) AS group_sample, s AS sample FROM reach GROUP BY genome, s
 
 _P4 = """WITH p AS (SELECT lower(trim(chrom)) AS key, coalesce(strftime(loaded_at, '%Y-%m'), 'none') AS month, A, C, G, T FROM profile WHERE chrom IS NOT NULL),
 v AS (SELECT key, month, 'A' AS metric, A AS v FROM p UNION ALL SELECT key, month, 'C', C FROM p UNION ALL SELECT key, month, 'G', G FROM p
-  UNION ALL SELECT key, month, 'T', T FROM p UNION ALL SELECT key, month, 'sum', A + C + G + T FROM p),
+  UNION ALL SELECT key, month, 'T', T FROM p UNION ALL SELECT key, month, 'sum', CAST(A AS BIGINT) + C + G + T FROM p),
 m AS (SELECT DISTINCT lower(trim(scaffold)) AS key, genome FROM stb WHERE removed_at IS NULL AND genome IS NOT NULL AND scaffold IS NOT NULL),
 s AS (SELECT 'scaffold' AS scope, key, month, metric, v, count(*) AS n FROM v WHERE v IS NOT NULL GROUP BY ALL),
 g AS (SELECT 'genome' AS scope, genome AS key, month, metric, v, sum(n) AS n FROM s JOIN m USING (key) GROUP BY ALL),
@@ -42,7 +42,7 @@ u AS (SELECT * FROM s UNION ALL SELECT * FROM g),
 w AS (SELECT * FROM u UNION ALL SELECT scope, key, 'all', metric, v, sum(n) FROM u GROUP BY scope, key, metric, v),
 c AS (SELECT *, sum(n) OVER (PARTITION BY scope, key, month, metric ORDER BY v) AS run, sum(n) OVER (PARTITION BY scope, key, month, metric) AS total FROM w)
 SELECT scope, key, month, metric, CAST(max(total) AS BIGINT) AS n, """ + ", ".join(f"CAST(min(v) FILTER (WHERE run * 100 >= {p} * total) AS BIGINT) AS p{p}" for p in (25, 50, 75, 90, 99)) + """,
-  CAST(0 AS BIGINT) AS rank_error FROM c GROUP BY scope, key, month, metric"""
+  CAST(max(total) // 34000 * 34 AS BIGINT) AS rank_error FROM c GROUP BY scope, key, month, metric"""
 
 
 def oracle_sql() -> dict[str, str]:
