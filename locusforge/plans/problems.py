@@ -42,12 +42,10 @@ def p3_genome_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     profile, stb, bed = (read_table(spark, d, t) for t in ("profile", "stb", "genomes_bed_file"))
-    in_stb = references.validity(stb.withColumn("scaffold", scaffold_name("scaffold")), "scaffold")
-    in_bed = references.validity(bed.withColumn("scaffold", scaffold_name("scaffold")), "scaffold")
-    of_profile = references.reference_rows(profile, "profile", scaffold_name("chrom"), sample=F.col("sample"))
-    of_stb = references.reference_rows(stb, "stb", scaffold_name("scaffold"))
-    of_bed = references.reference_rows(bed, "genomes_bed_file", scaffold_name("scaffold"))
-    return references.orphan_report([(of_profile, "stb", in_stb), (of_profile, "genomes_bed_file", in_bed), (of_stb, "genomes_bed_file", in_bed), (of_bed, "stb", in_stb)])
+    scaffold = scaffold_name("scaffold")
+    refs = [references.reference_rows(profile, "profile", scaffold_name("chrom"), sample=F.col("sample")), references.reference_rows(stb, "stb", scaffold), references.reference_rows(bed, "genomes_bed_file", scaffold)]
+    held = [references.validity(stb, "stb", scaffold), references.validity(bed, "genomes_bed_file", scaffold)]
+    return references.orphan_report(refs, held, {"profile": ["stb", "genomes_bed_file"], "stb": ["genomes_bed_file"], "genomes_bed_file": ["stb"]})
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

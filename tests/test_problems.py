@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from locusforge.operators import references, skew
+from locusforge.plans import problems
 
 
 def test_tree_sums_match_for_hot_null_and_single_keys(spark):
@@ -64,11 +65,20 @@ def test_orphans_match_brute_force(spark):
     df = spark.createDataFrame(refs, "sample string, chrom string, loaded_at timestamp_ntz")
     parents = spark.createDataFrame(held, "scaffold string, loaded_at timestamp_ntz, removed_at timestamp_ntz")
     rows = references.reference_rows(df, "profile", F.col("chrom"), sample=F.col("sample"))
-    got = references.orphan_report([(rows, "stb", references.validity(parents, "scaffold"))])
-    assert {(x.period, x["sample"], x.key): x.n_rows for x in got.collect()} == want
-    every = references.orphan_report([(rows, "stb", references.validity(parents.limit(0), "scaffold"))])
-    assert every.agg(F.sum("n_rows")).first()[0] == sum(x[1] is not None for x in refs)
-    assert references.orphan_report([(references.reference_rows(df.limit(0), "p", F.col("chrom")), "stb", references.validity(parents, "scaffold"))]).isEmpty()
+    other = references.reference_rows(df.limit(0), "p", F.col("chrom"))
+    valid = references.validity(parents, "stb", F.col("scaffold"))
+    got = references.orphan_report([rows, other], [valid, references.validity(parents.limit(0), "bed", F.col("scaffold"))], {"profile": ["stb", "bed"], "p": ["stb"]}).collect()
+    assert {(x.period, x["sample"], x.key): x.n_rows for x in got if x.target_table == "stb"} == want
+    assert sum(x.n_rows for x in got if x.target_table == "bed") == sum(x[1] is not None for x in refs) and {x.ref_table for x in got} == {"profile"}
+    assert references.orphan_report([other], [valid], {"p": ["stb"]}).isEmpty()
+
+
+def test_tables_are_read_once_for_all_their_targets(spark):
+    plan = problems.p6_found(spark, "/root/testdata/sf0.01")
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    final = text[: text.index("== Initial Plan ==")] if "== Initial Plan ==" in text else text
+    assert final.count("FileScan parquet [sample") == 1 and "ReusedExchange" in final and "NestedLoop" not in final and "Cartesian" not in final
 
 
 def test_the_rest_stands_without_the_llm_folder(tmp_path):
