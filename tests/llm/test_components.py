@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from locusforge.llm import components
 
 
@@ -39,9 +41,24 @@ def test_forests(spark):
     assert found(spark, edges, fan_in=2) == brute(edges)
 
 
-def test_stars_take_over_large_graphs(spark):
+def test_graphs_above_the_bound_are_split_by_their_records(spark):
     edges = some_edges(2)
-    assert found(spark, edges, bound=30) == brute(edges)
+    assert found(spark, edges, bound=20) == brute(edges)
+
+
+def test_a_record_with_more_neighbours_than_the_bound(spark):
+    edges = [("g", "m", f"{r}{i:03}") for i in range(120) for r in "az"] + [("g", f"z{i:03}", f"z{i + 1:03}") for i in range(40)]
+    assert found(spark, edges, bound=20) == brute(edges)
+
+
+def test_very_many_small_graphs_in_one_partition_leave_one_by_one():
+    rows = [(f"g{i:05}", f"n{k}", f"n{k + 1}") for i in range(3000) for k in range(3)]
+    batches = [pa.record_batch([pa.array(c) for c in zip(*rows[s : s + 500])], names=["graph", "node", "root"]) for s in range(0, len(rows), 500)]
+    out, size = [], []
+    for b in components._forest(800, own=True)(iter(batches)):
+        size.append(b.num_rows)
+        out += zip(*(c.to_pylist() for c in b.columns))
+    assert sorted(out) == sorted((f"g{i:05}", f"n{k}", "n0", True) for i in range(3000) for k in range(4)) and max(size) <= 104 and len(size) > 100
 
 
 def test_empty(spark):
