@@ -26,9 +26,9 @@ def brute(rows, max_gap, max_step, min_rows):
     return sorted((r[0][0], r[0][1], r[-1][1], len(r)) for r in out if len(r) >= min_rows)
 
 
-def found(spark, rows, max_gap, max_step, min_rows, chunk):
+def found(spark, rows, max_gap, max_step, min_rows, chunk, **kw):
     df = spark.createDataFrame(rows, "k string, pos long, stamp int, a int, b int").withColumn("seq", F.lit("clash"))
-    out = repeated_runs(df, F.col("k"), F.col("pos"), [F.col("a"), F.col("b")], max_gap=max_gap, max_step=max_step, min_rows=min_rows, chunk=chunk, prefer=[F.col("stamp")])
+    out = repeated_runs(df, F.col("k"), F.col("pos"), [F.col("a"), F.col("b")], max_gap=max_gap, max_step=max_step, min_rows=min_rows, chunk=chunk, prefer=[F.col("stamp")], **kw)
     return sorted(tuple(r) for r in out.collect())
 
 
@@ -60,3 +60,45 @@ def test_agglomerate_heads():
     at, v = np.array([1, 2, 9, 10, 11]), np.array([[1], [2], [3], [4], [9]])
     fresh = np.array([True, False, False, False, False])
     assert agglomerate(at, at, v, v, fresh, 2, 1).tolist() == [0, 0, 2, 2, 4]
+
+
+def by_means(at, v, fresh, max_gap, max_step, earliest=False):
+    """Merge the most similar neighbours, all pairs scored anew each time; with ``earliest`` the first that meet the limits."""
+    runs = [[i] for i in range(len(at))]
+    while True:
+        best = None
+        for k in range(len(runs) - 1):
+            a, b = runs[k], runs[k + 1]
+            gap = at[b[0]] - at[a[-1]]
+            step = max(abs(np.mean(v[a], axis=0) - np.mean(v[b], axis=0)))
+            if not fresh[b[0]] and step <= max_step and (max_gap is None or gap <= max_gap) and (best is None or not earliest and (round(step, 9), gap, k) < best):
+                best = (round(step, 9), gap, k)
+        if best is None:
+            return [r[0] for r in runs for _ in r]
+        runs[best[2] : best[2] + 2] = [runs[best[2]] + runs[best[2] + 1]]
+
+
+def test_means_are_scored_again_after_every_merge():
+    r = random.Random(8)
+    other = 0
+    for _ in range(150):
+        n = r.randrange(2, 40)
+        at = np.cumsum([r.choice([1, 1, 2, 7]) for _ in range(n)])
+        v = np.array([[r.randrange(8), r.randrange(3)] for _ in range(n)])
+        fresh = np.array([True] + [r.random() < 0.1 for _ in range(n - 1)])
+        gap = r.choice([None, 2])
+        got = agglomerate(at, at, v, v, fresh, gap, 2, "mean", v, np.ones(n, int)).tolist()
+        assert got == by_means(at, v, fresh, gap, 2)
+        other += got != by_means(at, v, fresh, gap, 2, earliest=True)
+    assert other > 20  # the order of merges matters
+
+
+def test_mean_runs_end_where_a_drift_has_gone_too_far(spark):
+    rows = [("x", i, 0, i // 2, 0) for i in range(40)]
+    assert found(spark, rows, 1, 1, 1, 1000) == [("x", 0, 39, 40)]
+    means = found(spark, rows, 1, 1, 1, 1000, linkage="mean")
+    assert len(means) > 5 and sum(m[3] for m in means) == 40
+    v = np.array([[i // 2, 0] for i in range(40)])
+    heads = by_means(np.arange(40), v, np.arange(40) == 0, 1, 1)
+    assert [m[1] for m in means] == sorted(set(heads))
+    assert sum(m[3] for m in found(spark, rows, 1, 1, 1, 7, linkage="mean")) == 40 and found(spark, [], 1, 1, 1, 7, linkage="mean") == []
