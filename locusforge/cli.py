@@ -121,7 +121,7 @@ def run_compare_genomes(spark, a):
 
     def run(pairs):
         rows = compare.prepare(compare.in_scope(profiles, stb) if db.config.scope != "all" else profiles, db.config.min_cov, model)
-        return compare.compare_genomes(compare.shared_loci(rows, rows, a.method, pairs), stb, db.config.min_gene_compare_len)
+        return compare.compare_genomes(compare.compared(rows, a.method, pairs), stb, db.config.min_gene_compare_len)
 
     print("compared" if complete(db.profiles.df, db.location, run) else "nothing left to compare")
 

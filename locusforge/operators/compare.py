@@ -1,7 +1,7 @@
 """Comparison of profiles: coverage and error filters, shared loci, runs without difference, genome and gene statistics.
 
-Everything works on any number of sample pairs at once: loci carry ``sample_1, sample_2``, and a single comparison is the
-case of one pair. Profiles have ``sample, chrom, pos, gene, A, C, G, T``.
+Everything works on any number of sample pairs at once: loci and the pieces counted from them carry ``sample_1, sample_2``, and a
+single comparison is the case of one pair. Profiles have ``sample, chrom, pos, gene, A, C, G, T``.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from locusforge.conventions import BASES
 from locusforge.functions import ani
+from locusforge.operators import pairing
 from locusforge.session import shuffle_partitions
 
 PAIR = ["sample_1", "sample_2"]
@@ -46,40 +47,55 @@ def adjust_for_errors(profile: DataFrame, model: DataFrame, clamp: bool = False)
 
 #: Positions in a chunk. Loci of a chunk are joined, put in order and counted in one place; only the counts travel on.
 CHUNK = 128
+#: Blocks of second samples that loci are joined in.
+BLOCKS = 4
 
 
 def _chunked(df: DataFrame, *keys: str) -> DataFrame:
-    """Partitioned by scaffold and chunk. The number of partitions is stated, as the join makes many times the rows that it
+    """Partitioned by scaffold, chunk and ``keys``. The number of partitions is stated, as the join makes many times the rows that it
     reads and the size of its input is no measure for joining partitions again."""
     spark = df.sparkSession
     n = max(shuffle_partitions(spark), 4 * spark.sparkContext.defaultParallelism)
     return df.withColumn("chunk", F.expr(f"cast(pos as bigint) div {CHUNK}")).repartition(n, *keys, "chrom", "chunk")
 
 
-def shared_loci(left: DataFrame, right: DataFrame, method: str = "popani", pairs: DataFrame | None = None) -> DataFrame:
+def shared_loci(left: DataFrame, right: DataFrame | None = None, method: str = "popani", pairs: DataFrame | None = None) -> DataFrame:
     """``sample_1, sample_2, scaffold, chunk, pos, gene, surr`` of positions that both samples of a pair cover; gene of the left.
 
-    pairs: ``sample_1, sample_2``. With it the rows of sample_1 are first given its partners, so that the join never makes
-    more rows than the pairs need. Without it every pair with sample_1 < sample_2 is compared (one frame joined with
-    itself), or every combination of the two frames if they are different.
+    Without ``right`` the samples of ``left`` are compared with each other, every pair with sample_1 < sample_2 once; with it every
+    sample of the one with every sample of the other. pairs: ``sample_1, sample_2``; only these, the rows of sample_1 being given
+    their partners first, so that the join never makes more rows than the pairs need.
 
-    Both sides are partitioned by scaffold and chunk, which is all that the join and the counting after it need: the
-    loci of all pairs, by far the largest intermediate result, are never shuffled. For that Spark must accept a join
-    partitioned by some of its keys; the setting is made here and changes no result.
+    Both sides are partitioned by scaffold, chunk and the second sample's block or name, so that the loci of a task are bounded
+    whatever the number of samples. Where the session accepts joins partitioned by some of their keys (``build_session`` sets
+    ``spark.sql.requireAllClusterKeysForCoPartition`` for that), the loci are never shuffled; the result is the same without.
     """
-    left.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    other = left if right is None else right
     a = left.select(F.col("sample").alias("sample_1"), "chrom", "pos", "gene", *BASES)
-    b = right.select(F.col("sample").alias("sample_2"), "chrom", "pos", *(F.col(x).alias(f"{x}_2") for x in BASES))
+    b = other.select(F.col("sample").alias("sample_2"), "chrom", "pos", *(F.col(x).alias(f"{x}_2") for x in BASES))
     if pairs is not None:
         a = a.join(pairs.select(*PAIR).distinct(), "sample_1")
         joined = _chunked(a, "sample_2").join(_chunked(b, "sample_2"), ["sample_2", "chrom", "chunk", "pos"])
     else:
-        joined = _chunked(a).join(_chunked(b), ["chrom", "chunk", "pos"])
-        if left is right:
+        b = b.withColumn("block", F.pmod(F.xxhash64("sample_2"), F.lit(BLOCKS)).cast("int"))
+        a = a.withColumn("block", F.explode(F.array(*map(F.lit, range(BLOCKS)))))
+        joined = _chunked(a, "block").join(_chunked(b, "block"), ["block", "chrom", "chunk", "pos"])
+        if right is None:
             joined = joined.where("sample_1 < sample_2")
     return joined.select(*PAIR, F.col("chrom").alias("scaffold"), "chunk", "pos", "gene", ani.of_columns(method).alias("surr"))
 
 
+def compared(profile: DataFrame, method: str = "popani", pairs: DataFrame | None = None, every_block: bool = False) -> DataFrame:
+    """What all statistics of pairs are made from: :func:`pairing.pieces` of the samples of ``profile``.
+
+    Given pairs, and methods that exist as Column expressions only, go through the loci; the result is the same.
+    """
+    arrays = ani.array_method(method)
+    if pairs is None and arrays is not None:
+        return pairing.pieces(profile, arrays, every_block)
+    return pieces_of(shared_loci(profile, None, method, pairs))
+
+
 def _running_differences(*keys: str, first: str | None = None) -> Column:
     w = Window.partitionBy(*([first] if first else []), *PAIR, *keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return F.sum(F.when(F.col("surr") == 0, 1).otherwise(0)).over(w)
@@ -93,28 +109,36 @@ def contiguity(loci: DataFrame) -> DataFrame:
     return loci.withColumn("group_id", _running_differences("scaffold"))
 
 
-def _block_parts(loci: DataFrame) -> DataFrame:
-    """Loci counted by ``scaffold, group_id, gene`` within their chunk: ``n`` loci, ``s`` of them similar.
-
-    Differences are numbered within a chunk, where no shuffle is needed, and the differences of the chunks before are
-    added to the counts, so that a block that runs over several chunks has one group_id.
-    """
+def pieces_of(loci: DataFrame) -> DataFrame:
+    """Loci counted within their chunk, in the form of :func:`pairing.pieces`; frames that have it already stay as they are."""
+    if "surr" not in loci.columns:
+        return loci
     # a number first, so that the sort rarely compares the names
     keyed = loci.withColumn("__key", F.xxhash64(*PAIR, "scaffold", "chunk"))
-    fine = keyed.withColumn("__local", _running_differences("scaffold", "chunk", first="__key")).groupBy(*PAIR, "scaffold", "chunk", "__local", "gene")
-    fine = fine.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("surr") > 0).alias("s"), F.count_if(F.col("surr") == 0).alias("__d"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
-    before = Window.partitionBy(*PAIR, "scaffold").orderBy("chunk").rangeBetween(Window.unboundedPreceding, -1)
-    return fine.withColumn("group_id", F.col("__local") + F.coalesce(F.sum("__d").over(before), F.lit(0))).drop("__local", "__d", "chunk")
+    numbered = keyed.withColumn("__local", _running_differences("scaffold", "chunk", first="__key"))
+    sets = numbered.groupingSets([[*map(F.col, [*PAIR, "scaffold", "chunk", "gene"])], [*map(F.col, [*PAIR, "scaffold", "chunk", "__local"])]], *PAIR, "scaffold", "chunk", "gene", "__local")
+    of_gene = F.grouping("__local") == 1
+    fine = sets.agg(of_gene.alias("of_gene"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("surr") > 0).alias("s"), F.count_if(F.col("surr") == 0).alias("d"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    gene = F.when(F.col("of_gene"), F.coalesce("gene", F.lit(NO_NAME)))
+    return fine.select(*PAIR, "scaffold", "chunk", gene.alias("gene"), F.when(~F.col("of_gene"), F.col("__local")).alias("local"), "n", "s", F.when(F.col("of_gene"), 0).otherwise(F.col("d")).alias("d"), "first_pos", "last_pos")
+
+
+def _numbered(pieces: DataFrame) -> DataFrame:
+    """Pieces with ``group_id``: the differences of earlier chunks added to the number of a block within its chunk, so that a block
+    that runs over several chunks has one."""
+    before = Window.partitionBy("__key", *PAIR, "scaffold").orderBy("chunk").rangeBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("__key", F.xxhash64(*PAIR, "scaffold"))  # a number first, so that the sort rarely compares the names
+    return pieces.withColumn("group_id", F.col("local") + F.coalesce(F.sum("d").over(before), F.lit(0)))
 
 
 def blocks(loci: DataFrame) -> DataFrame:
-    """``sample_1, sample_2, scaffold, group_id, first_pos, last_pos, length``."""
-    return _block_parts(loci).groupBy(*PAIR, "scaffold", "group_id").agg(F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"), F.sum("n").alias("length"))
+    """``sample_1, sample_2, scaffold, group_id, first_pos, last_pos, length`` of loci, or of pieces that have every block."""
+    parts = _numbered(pieces_of(loci).where("gene is null")).groupBy(*PAIR, "scaffold", "group_id")
+    return parts.agg(F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"), F.sum("n").alias("length"))
 
 
 def _with_genome(df: DataFrame, stb: DataFrame) -> DataFrame:
-    genomes = stb.select("scaffold", "genome")
-    return df.join(genomes, "scaffold", "left").withColumns({"genome": F.coalesce("genome", F.lit(NO_NAME)), "gene": F.coalesce("gene", F.lit(NO_NAME))})
+    return df.join(stb.select("scaffold", "genome"), "scaffold", "left").withColumn("genome", F.coalesce("genome", F.lit(NO_NAME)))
 
 
 def _percent(part: str, whole: str) -> Column:
@@ -123,26 +147,25 @@ def _percent(part: str, whole: str) -> Column:
 
 def genome_similarity(loci: DataFrame, stb: DataFrame) -> DataFrame:
     """``sample_1, sample_2, genome, total_positions, share_allele_pos, genome_pop_ani``."""
-    per_scaffold = loci.groupBy(*PAIR, "scaffold").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("surr") > 0).alias("s")).withColumn("gene", F.lit(NO_NAME))
+    per_scaffold = pieces_of(loci).where("gene is not null").groupBy(*PAIR, "scaffold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     sums = _with_genome(per_scaffold, stb).groupBy(*PAIR, "genome").agg(F.sum("n").alias("total_positions"), F.sum("s").alias("share_allele_pos"))
     return sums.withColumn("genome_pop_ani", _percent("share_allele_pos", "total_positions"))
 
 
 def compare_genomes(loci: DataFrame, stb: DataFrame, min_gene_length: int = MIN_GENE_LENGTH) -> DataFrame:
-    """All statistics per pair and genome. Gene columns are null where no gene is long enough.
+    """All statistics per pair and genome, of loci or pieces. Gene columns are null where no gene is long enough.
 
-    The loci are counted by block and gene where they are; then follow one aggregation by both (grouping sets) and a last
-    one by genome. The loci are neither read nor shuffled a second time.
+    Blocks are numbered over the chunks of a scaffold; then follow one aggregation by gene or block and a last one by genome. What was
+    compared is neither read nor counted a second time.
     """
-    pieces = _with_genome(_block_parts(loci), stb)
-    sets = pieces.groupingSets([[*map(F.col, [*PAIR, "genome", "gene"])], [*map(F.col, [*PAIR, "genome", "scaffold", "group_id"])]], *PAIR, "genome", "gene", "scaffold", "group_id")
-    parts = sets.agg(F.grouping("gene").alias("is_block"), F.sum("n").alias("n"), F.sum("s").alias("s"))
-    of_gene = F.col("is_block") == 0
-    counted = of_gene & (F.col("gene") != NO_NAME) & (F.col("n") >= min_gene_length)
+    is_block = F.col("gene").isNull()
+    named = _with_genome(_numbered(pieces_of(loci)), stb).withColumn("__s", F.when(is_block, F.col("scaffold")))
+    parts = named.groupBy(*PAIR, "genome", "gene", "__s", "group_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    counted = ~is_block & (F.col("gene") != NO_NAME) & (F.col("n") >= min_gene_length)
     sums = parts.groupBy(*PAIR, "genome").agg(
-        F.sum(F.when(of_gene, F.col("n"))).alias("total_positions"),
-        F.sum(F.when(of_gene, F.col("s"))).alias("share_allele_pos"),
-        F.max(F.when(~of_gene, F.col("n"))).alias("max_consecutive_length"),
+        F.sum(F.when(~is_block, F.col("n"))).alias("total_positions"),
+        F.sum(F.when(~is_block, F.col("s"))).alias("share_allele_pos"),
+        F.max(F.when(is_block, F.col("n"))).alias("max_consecutive_length"),
         F.count_if(counted).alias("g"),
         F.count_if(counted & (F.col("n") == F.col("s"))).alias("i"),
     )
@@ -155,13 +178,14 @@ def compare_genomes(loci: DataFrame, stb: DataFrame, min_gene_length: int = MIN_
 
 def longest_blocks(loci: DataFrame, stb: DataFrame) -> DataFrame:
     """``sample_1, sample_2, genome, max_consecutive_length``."""
-    by_block = _with_genome(_block_parts(loci), stb).groupBy(*PAIR, "genome", "scaffold", "group_id").agg(F.sum("n").alias("n"))
-    return by_block.groupBy(*PAIR, "genome").agg(F.max("n").alias("max_consecutive_length"))
+    by_block = _numbered(pieces_of(loci).where("gene is null")).groupBy(*PAIR, "scaffold", "group_id").agg(F.sum("n").alias("n"))
+    by_scaffold = by_block.groupBy(*PAIR, "scaffold").agg(F.max("n").alias("n"))
+    return _with_genome(by_scaffold, stb).groupBy(*PAIR, "genome").agg(F.max("n").alias("max_consecutive_length"))
 
 
 def _by_gene(loci: DataFrame, stb: DataFrame, min_gene_length: int) -> DataFrame:
-    fine = loci.groupBy(*PAIR, "scaffold", "gene").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("surr") > 0).alias("s"))
-    sums = _with_genome(fine, stb).groupBy(*PAIR, "genome", "gene").agg(F.sum("n").alias("total_positions"), F.sum("s").alias("share_allele_pos"))
+    fine = _with_genome(pieces_of(loci).where("gene is not null"), stb)
+    sums = fine.groupBy(*PAIR, "genome", "gene").agg(F.sum("n").alias("total_positions"), F.sum("s").alias("share_allele_pos"))
     return sums.where(F.col("total_positions") >= min_gene_length)
 
 

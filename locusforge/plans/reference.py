@@ -75,9 +75,13 @@ def _model(spark: SparkSession, d: str) -> DataFrame:
     return poisson_model(spark, max_total_reads=max(top or 0, 1))
 
 
-def _loci(spark: SparkSession, d: str, method: str = "popani", model: bool = False) -> DataFrame:
+def _loci(spark: SparkSession, d: str, method: str = "popani") -> DataFrame:
+    return compare.shared_loci(compare.prepare(profile(spark, d), MIN_COV), None, method)
+
+
+def _compared(spark: SparkSession, d: str, method: str = "popani", model: bool = False, every_block: bool = False) -> DataFrame:
     rows = compare.prepare(profile(spark, d), MIN_COV, _model(spark, d) if model else None)
-    return compare.shared_loci(rows, rows, method)
+    return compare.compared(rows, method, every_block=every_block)
 
 
 def coverage_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -105,45 +109,45 @@ def shared_loci_cosani(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contiguity_blocks(spark: SparkSession, d: str) -> DataFrame:
-    b = compare.blocks(_loci(spark, d)).groupBy("sample_1", "sample_2", "scaffold")
+    b = compare.blocks(_compared(spark, d, every_block=True)).groupBy("sample_1", "sample_2", "scaffold")
     return b.agg(F.count(F.lit(1)).alias("n_blocks"), F.max("length").alias("longest"), F.sum(F.col("length") * F.col("group_id")).alias("check"), F.max(F.col("last_pos") - F.col("first_pos")).alias("widest"))
 
 
 def longest_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return compare.longest_blocks(_loci(spark, d), stb(spark, d))
+    return compare.longest_blocks(_compared(spark, d), stb(spark, d))
 
 
 def genome_popani(spark: SparkSession, d: str) -> DataFrame:
-    return compare.genome_similarity(_loci(spark, d), stb(spark, d))
+    return compare.genome_similarity(_compared(spark, d), stb(spark, d))
 
 
 def gene_ani_summary(spark: SparkSession, d: str) -> DataFrame:
-    return compare.gene_summary(_loci(spark, d), stb(spark, d), MIN_GENE)
+    return compare.gene_summary(_compared(spark, d), stb(spark, d), MIN_GENE)
 
 
 def compare_genomes(spark: SparkSession, d: str) -> DataFrame:
-    return compare.compare_genomes(_loci(spark, d), stb(spark, d), MIN_GENE)
+    return compare.compare_genomes(_compared(spark, d), stb(spark, d), MIN_GENE)
 
 
 def compare_genomes_error_model(spark: SparkSession, d: str) -> DataFrame:
-    return compare.compare_genomes(_loci(spark, d, "conani", True), stb(spark, d), MIN_GENE)
+    return compare.compare_genomes(_compared(spark, d, "conani", True), stb(spark, d), MIN_GENE)
 
 
 def compare_genomes_scoped(spark: SparkSession, d: str) -> DataFrame:
     wanted = compare.scope_stb(stb(spark, d), SCOPE)
     rows = compare.prepare(compare.in_scope(profile(spark, d), wanted), MIN_COV)
-    return compare.compare_genomes(compare.shared_loci(rows, rows), wanted, MIN_GENE)
+    return compare.compare_genomes(compare.compared(rows), wanted, MIN_GENE)
 
 
 def compare_remaining_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Only the pairs of registered profiles that the comparison table lacks."""
     rows = compare.prepare(profile(spark, d), MIN_COV)
     pairs = remaining_pairs(spark, d).select(F.col("profile_1").alias("sample_1"), F.col("profile_2").alias("sample_2"))
-    return compare.compare_genomes(compare.shared_loci(rows, rows, pairs=pairs), stb(spark, d), MIN_GENE)
+    return compare.compare_genomes(compare.compared(rows, pairs=pairs), stb(spark, d), MIN_GENE)
 
 
 def compare_genes(spark: SparkSession, d: str) -> DataFrame:
-    return compare.compare_genes(_loci(spark, d), stb(spark, d), MIN_GENE)
+    return compare.compare_genes(_compared(spark, d), stb(spark, d), MIN_GENE)
 
 
 def compare_zero_filled(spark: SparkSession, d: str) -> DataFrame:
@@ -247,7 +251,7 @@ def incremental_completion(spark: SparkSession, d: str) -> DataFrame:
     comparisons(spark, d).select(*COMPARISON.names).write.parquet(place)
     rows, mapping = compare.prepare(profile(spark, d), MIN_COV), stb(spark, d)
     for _ in range(2):
-        ingest.complete(_registry(spark, d), place, lambda pairs: compare.compare_genomes(compare.shared_loci(rows, rows, pairs=pairs), mapping, MIN_GENE))
+        ingest.complete(_registry(spark, d), place, lambda pairs: compare.compare_genomes(compare.compared(rows, pairs=pairs), mapping, MIN_GENE))
     return spark.read.schema(COMPARISON).parquet(place)
 
 

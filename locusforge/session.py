@@ -20,6 +20,7 @@ def build_session(master: str = "local[*]", app: str = "locusforge", **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.compression.codec": "zstd",
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
         "spark.ui.enabled": "false",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     builder = SparkSession.builder.master(master).appName(app)
@@ -78,8 +79,3 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def work_dir() -> str:
-    """Scratch folder for tests and command line runs on one machine."""
-    return os.environ.get("LOCUSFORGE_WORK", tempfile.gettempdir())

@@ -28,7 +28,7 @@ def stb(spark):
 def test_identical_profiles(spark, min_cov, min_gene):
     p = spark.createDataFrame(rows("a") + rows("b"), PROFILE)
     p = compare.prepare(p, min_cov)
-    got = {r.genome: tuple(r[c] for c in STATS) for r in compare.compare_genomes(compare.shared_loci(p, p), stb(spark), min_gene).collect()}
+    got = {r.genome: tuple(r[c] for c in STATS) for r in compare.compare_genomes(compare.compared(p), stb(spark), min_gene).collect()}
     assert got == brute(rows("a"), rows("b"), dot, min_cov, min_gene)
     assert all(v[2] == 100 for v in got.values())
 
@@ -38,11 +38,11 @@ def test_all_pairs_in_one_plan_match_brute_force(spark, name, similar):
     samples = {"a": rows("a", 1), "b": rows("b", 2), "c": rows("c", 1, flips={("chr2", 6), ("chr3", 9), ("chr1", 3)}), "d": rows("d", 1, ("chr3",))}
     p = compare.prepare(spark.createDataFrame([r for s in samples.values() for r in s], PROFILE), 3)
     got = {}
-    for r in compare.compare_genomes(compare.shared_loci(p, p, name), stb(spark), 2).collect():
+    for r in compare.compare_genomes(compare.compared(p, name), stb(spark), 2).collect():
         got.setdefault((r.sample_1, r.sample_2), {})[r.genome] = tuple(r[c] for c in STATS)
     assert got == {(x, y): b for x in samples for y in samples if x < y and (b := brute(samples[x], samples[y], similar, 3, 2))}
     some = spark.createDataFrame([("a", "c"), ("b", "d"), ("a", "c")], "sample_1 string, sample_2 string")
-    only = compare.compare_genomes(compare.shared_loci(p, p, name, some), stb(spark), 2)
+    only = compare.compare_genomes(compare.compared(p, name, some), stb(spark), 2)
     assert {(r.sample_1, r.sample_2): None for r in only.collect()}.keys() == {("a", "c"), ("b", "d")}
 
 
@@ -67,13 +67,13 @@ def test_method_registry(spark):
             ani.method(bad)
     ani.register("never", lambda a, b: F.lit(0).cast("long"))
     p = spark.createDataFrame(rows("a") + rows("b"), PROFILE)
-    assert compare.shared_loci(p, p, "never").where("surr > 0").isEmpty()
+    assert compare.shared_loci(p, None, "never").where("surr > 0").isEmpty()
 
 
 def test_large_counts_do_not_overflow(spark):
     p = spark.createDataFrame([(s, "chr1", 0, "NA", 65535, 65535, 65535, 65535) for s in "ab"], PROFILE)
     p = compare.prepare(p, 1)
-    assert compare.shared_loci(p, p).first().surr == 4 * 65535**2
+    assert compare.shared_loci(p).first().surr == 4 * 65535**2
 
 
 def test_error_filter(spark):
@@ -94,7 +94,7 @@ def test_blocks_over_many_chunks_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(compare, "CHUNK", 3)
     samples = {"a": rows("a", 1), "b": rows("b", 1, flips={("chr3", 9), ("chr3", 10), ("chr2", 15)})}
     p = compare.prepare(spark.createDataFrame([r for s in samples.values() for r in s], PROFILE), 1)
-    loci = compare.shared_loci(p, p, "conani")
+    loci = compare.shared_loci(p, None, "conani")
     want = brute(samples["a"], samples["b"], con, 1, 2)
     assert {r.genome: tuple(r[c] for c in STATS) for r in compare.compare_genomes(loci, stb(spark), 2).collect()} == want
     assert {r.genome: r.max_consecutive_length for r in compare.longest_blocks(loci, stb(spark)).collect()} == {g: v[3] for g, v in want.items()}
@@ -112,16 +112,16 @@ def test_single_pair_has_every_genome_and_zeros(spark):
 
 def test_genes_keep_the_rest_as_na_and_empty_input(spark):
     p = compare.prepare(spark.createDataFrame(rows("a") + rows("b"), PROFILE), 1)
-    genes = compare.compare_genes(compare.shared_loci(p, p), stb(spark), 1)
+    genes = compare.compare_genes(compare.compared(p), stb(spark), 1)
     assert {r.gene for r in genes.collect()} == {"gene1", "gene2", "gene3", "NA"}
-    summary = {r.genome: r.shared_genes_count for r in compare.gene_summary(compare.shared_loci(p, p), stb(spark), 1).collect()}
+    summary = {r.genome: r.shared_genes_count for r in compare.gene_summary(compare.compared(p), stb(spark), 1).collect()}
     assert summary == {"genome1": 3, "genome2": 3}
     none = p.limit(0)
-    loci = compare.shared_loci(none, none)
+    loci = compare.compared(none)
     assert compare.compare_genomes(loci, stb(spark)).isEmpty() and compare.longest_blocks(loci, stb(spark)).isEmpty()
 
 
 def test_unmapped_scaffolds_are_na(spark):
     p = compare.prepare(spark.createDataFrame(rows("a") + rows("b"), PROFILE), 1)
-    out = compare.genome_similarity(compare.shared_loci(p, p), stb(spark).where("scaffold <> 'chr3'")).collect()
+    out = compare.genome_similarity(compare.compared(p), stb(spark).where("scaffold <> 'chr3'")).collect()
     assert {r.genome for r in out} == {"genome1", "NA"}
