@@ -113,11 +113,11 @@ def run_compare_genomes(spark, a):
     db = ComparisonDatabase.load(spark, a.database)
     model = io.read_parquet(spark, db.config.null_model_loc) if db.config.null_model_loc else None
     stb = compare.scope_stb(io.read_stb(spark, db.config.stb_file_loc), db.config.scope)
-    files = db.profiles.df.select("profile_name", "profile_location").distinct().collect()  # one row per sample file
-    profiles = None
-    for r in files:
-        p = _profile(spark, r.profile_location, r.profile_name)
-        profiles = p if profiles is None else profiles.unionByName(p)
+    names = [tuple(r) for r in db.profiles.df.select("profile_location", "profile_name").distinct().toLocalIterator()]  # a path per sample
+    if not names:
+        print("nothing left to compare")
+        return
+    profiles = io.by_file(io.read_parquet(spark, sorted({p for p, _ in names})), names, "sample").select("sample", *schemas.PROFILE.names)
 
     def run(pairs):
         rows = compare.prepare(compare.in_scope(profiles, stb) if db.config.scope != "all" else profiles, db.config.min_cov, model)
@@ -126,8 +126,51 @@ def run_compare_genomes(spark, a):
     print("compared" if complete(db.profiles.df, db.location, run) else "nothing left to compare")
 
 
+def run_profile(spark, a):
+    """All samples of a table in one plan: pileup text in, one folder of profiles by sample out, with their breadth and heterogeneity."""
+    table = spark.read.csv(a.input_table, header=True)
+    if lost := {"sample_name", "pileup"} - set(table.columns):
+        raise ValueError(f"Input table missing required columns: {sorted(lost)}")
+    names = [tuple(r) for r in table.select("pileup", "sample_name").distinct().toLocalIterator()]
+    if gone := io.missing(spark, (p for p, _ in names)):
+        raise FileNotFoundError(gone[0])
+    lines = io.by_file(spark.read.text(sorted({p for p, _ in names})), names, "sample")
+    rows = pileup_profile(lines, io.read_gene_ranges(spark, a.gene_range_table), keep=("sample",))
+    wanted = io.read_bed(spark, a.bed_file).select(F.col("scaffold").alias("chrom")).distinct()
+    io.write_parquet(rows.join(wanted, "chrom", "left_semi"), f"{a.run_dir}/profiles", partition_by=["sample"])
+    profiles, stb = io.read_parquet(spark, f"{a.run_dir}/profiles"), io.read_stb(spark, a.stb_file)
+    io.write_parquet(coverage.genome_breadth(profiles, io.read_parquet(spark, a.genome_length_file), stb), f"{a.run_dir}/breadth")
+    io.write_parquet(coverage.strain_heterogeneity(profiles, stb), f"{a.run_dir}/heterogeneity")
+
+
+def build_comp_database(spark, a):
+    """A comparison database from profiles and a configuration, going on from an existing comparison table if one is given."""
+    if a.comp_db_file and not io.exists(spark, a.comp_db_file):
+        raise FileNotFoundError(f"{a.comp_db_file} does not exist.")
+    db = ComparisonDatabase(ProfileDatabase(spark, a.profile_db_dir), ComparisonConfig.from_json(a.config_file), a.comp_db_file)
+    db.save_new_compare_database(f"{a.output_dir}/comparisons")
+    db.dump(f"{a.output_dir}/database.json")
+
+
+def setup_problems(spark) -> list[str]:
+    """What keeps the engine from working here: Java and Python sides are run once over a few rows."""
+    found = []
+    for name in ("pyarrow", "pandas", "numpy"):
+        if importlib.util.find_spec(name) is None:
+            found.append(f"the Python package {name} is missing")
+    try:
+        lines = spark.createDataFrame([("c\t1\tN\t2\tAc\tII",)], "value string")
+        profile = pileup_profile(lines).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("sample"), "*")
+        if compare.compared(profile).where("gene is not null").count() != 1:
+            found.append("a comparison of two samples gave a wrong result")
+    except Exception as e:  # noqa: BLE001
+        found.append(f"a comparison of two samples failed: {e}")
+    return found
+
+
 def test(spark, a):
-    print("samtools:", "not needed; profiles are made from pileup text", "| tokenizers:", "present" if importlib.util.find_spec("tokenizers") else "missing")
+    found = setup_problems(spark)
+    print("\n".join(found) if found else "The setup works: pileup text was counted and two samples were compared.")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -162,9 +205,9 @@ def parser() -> argparse.ArgumentParser:
     command("compare", "single_compare_genome", single_compare_genome, "profile-1", "profile-2", opt("name-1"), opt("name-2"), "stb", opt("null-model"), opt("min-cov", 5, int), opt("min-gene-compare-len", 100, int), opt("scope", "all"), opt("method", "popani"), opt("memory-mode", "heavy"), "output")
     command("profile", "prepare_profiling", prepare_profiling, "fasta", "gene-fasta", "stb", "output")
     command("profile", "profile-single", profile_single, "pileup", "gene-range-table", opt("bed"), "output")
-    command("run", "profile", profile_single, "pileup", "gene-range-table", opt("bed"), "output")
+    command("run", "profile", run_profile, "input-table", "stb-file", "gene-range-table", "bed-file", "genome-length-file", "run-dir")
     command("run", "compare_genomes", run_compare_genomes, "database", opt("method", "popani"))
-    command("run", "build-comp-database", build_comparison_config, "profile-db", "comp-db", "gene-db-id", "reference-db-id", opt("scope", "all"), opt("min-cov", 5, int), opt("min-gene-compare-len", 100, int), "stb", opt("null-model"), "output")
+    command("run", "build-comp-database", build_comp_database, "profile-db-dir", "config-file", opt("comp-db-file"), "output-dir")
     return root
 
 

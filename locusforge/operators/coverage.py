@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from locusforge.conventions import BASES
+from locusforge.operators.blocks import combined
 from locusforge.operators.compare import with_coverage
 
 
@@ -61,5 +62,5 @@ def unpivot_breadth(matrix: DataFrame, fill: float | None = 0.0) -> DataFrame:
 def long_breadth(breadth: DataFrame, samples: DataFrame) -> DataFrame:
     """``genome, sample, breadth`` of every genome of the table with every sample of ``samples``; 0 where there is none."""
     known = breadth.groupBy("genome", "sample").agg(F.max("breadth").alias("breadth"))
-    every = breadth.select("genome").distinct().crossJoin(samples.select("sample").distinct())
+    every = combined(breadth.select("genome").distinct(), samples.select("sample").distinct())
     return every.join(known, ["genome", "sample"], "left").fillna(0.0, ["breadth"])

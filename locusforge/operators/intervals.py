@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from locusforge.session import cut_lineage
 
 MAX_SEGMENT = 500_000
 NO_NAME = "NA"
@@ -56,18 +58,15 @@ def fasta_lengths(records: DataFrame) -> DataFrame:
 def chunks(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     """Rows with ``chunk`` 0..n-1: contiguous slices in the given order, the last taking the remainder.
 
-    Row numbers come from counts of range partitions, so no task sees all rows.
+    The rows are put in order and written once; row numbers are their places in their partition and the counts of the partitions
+    before, a small table that is joined. No task sees all rows, and nothing is collected.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    ordered = ordered.withColumns({"__p": F.expr("__id >> 33"), "__r": F.expr("__id & 8589934591")})
-    sizes = ordered.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).collect()  # a row per partition
-    before, total = {}, 0
-    for r in sorted(sizes, key=lambda r: r["__p"]):
-        before[r["__p"]], total = total, total + r["__n"]
-    if not total:
-        return df.withColumn("chunk", F.lit(0).cast("long"))
-    offsets = F.create_map(*(F.lit(x).cast("long") for kv in before.items() for x in kv))
-    size = max(1, total // n)
-    return ordered.withColumn("chunk", F.least(F.expr(f"({total} * 0L)") + F.floor((offsets[F.col("__p")] + F.col("__r")) / size), F.lit(n - 1)).cast("long")).drop("__id", "__p", "__r")
+    ordered = cut_lineage(ordered.withColumns({"__p": F.shiftright("__id", 33), "__r": F.expr("__id & 8589934591")}).drop("__id"))
+    sizes = ordered.groupBy(F.col("__p").alias("__q")).agg(F.count(F.lit(1)).alias("__n"))  # a row per partition
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = sizes.select("__q", before.alias("__before"), F.greatest(F.floor(F.sum("__n").over(Window.partitionBy()) / n), F.lit(1)).alias("__size"))
+    rows = ordered.join(places, F.col("__p") == F.col("__q"))
+    return rows.withColumn("chunk", F.least(F.expr("(__before + __r) div __size"), F.lit(n - 1)).cast("long")).select(*df.columns, "chunk")

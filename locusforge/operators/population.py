@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from locusforge.conventions import quoted
+from locusforge.operators.blocks import combined
+from locusforge.session import cut_lineage
 
 #: Histogram of run lengths: edges 0..CDF_TOP in CDF_EDGES steps.
 CDF_TOP, CDF_EDGES = 50_000, 10_000
@@ -62,6 +64,18 @@ def survival(runs: DataFrame, keys: list[str]) -> DataFrame:
     return binned.select(*keys, "bin", ((F.col("bin") + 1) * width).alias("upper_edge"), "n", (above / F.sum("n").over(w)).alias("share_at_or_above"))
 
 
+def list_survival(values: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`survival` of ``keys, list`` (as :func:`ibs_lists` makes them): ``keys, upper_edge, share_at_or_above`` as arrays in
+    falling order of the edges. A list that begins with -1 has no values and gives [-1] for both, as does a null or empty one."""
+    none = F.array(F.lit(-1.0))
+    empty = F.coalesce(F.size("list"), F.lit(0)) < 1
+    rows = values.withColumn("__none", empty | (F.try_element_at("list", F.lit(1)) == -1))
+    steps = survival(rows.where("not __none").select(*keys, F.explode("list").alias("max_consecutive_length")), keys)
+    lists = steps.groupBy(*keys).agg(F.reverse(F.sort_array(F.collect_list(F.struct("upper_edge", "share_at_or_above")))).alias("r"))
+    full = lists.select(*keys, F.col("r.upper_edge").alias("upper_edge"), F.col("r.share_at_or_above").alias("share_at_or_above"))
+    return full.unionByName(rows.where("__none").select(*keys, none.alias("upper_edge"), none.alias("share_at_or_above")))
+
+
 def ibs_distances(runs: DataFrame, threshold: float = 0.001, min_member: int = 50) -> DataFrame:
     """``genome, pair, distance`` for each two populations of a genome: where the runs within both reach, less where those between do.
 
@@ -113,23 +127,31 @@ def similarity_matrix(comps: DataFrame, genome: str, min_total: int = 10_000, ma
     """``sample_1, sample_2, genome_pop_ani`` of the square matrix of a genome in long form.
 
     Mirrored pairs, 100 on the diagonal; samples whose column lacks more than ``max_null`` values leave rows and columns;
-    what is missing then becomes ``impute``. The matrix is a result of samples x samples by definition; pairs are made
-    from the samples of one genome only.
+    what is missing then becomes ``impute``. The matrix is a result of samples x samples by definition; it is made by blocks of
+    the samples of one genome. The genome's rows are read and written once, as all steps build on them.
     """
     one = comps.where((F.col("genome") == genome) & (F.col("total_positions") > min_total)).groupBy("sample_1", "sample_2").agg(F.max("genome_pop_ani").alias("genome_pop_ani"))
-    both = one.select(F.inline(F.array(F.struct("sample_1", "sample_2", "genome_pop_ani"), F.struct(F.col("sample_2").alias("sample_1"), F.col("sample_1").alias("sample_2"), "genome_pop_ani"))))
+    both = cut_lineage(one.select(F.inline(F.array(F.struct("sample_1", "sample_2", "genome_pop_ani"), F.struct(F.col("sample_2").alias("sample_1"), F.col("sample_1").alias("sample_2"), "genome_pop_ani")))))
     samples = both.select("sample_1").distinct()
     values = both.unionByName(samples.select("sample_1", F.col("sample_1").alias("sample_2"), F.lit(100.0).alias("genome_pop_ani")))
     held = values.where("genome_pop_ani is not null").groupBy("sample_2").agg(F.count(F.lit(1)).alias("n"))
     n_samples = samples.agg(F.count(F.lit(1))).scalar()
-    kept = held.where(n_samples - F.col("n") <= max_null).select(F.col("sample_2").alias("s"))
-    every = kept.agg(F.sort_array(F.collect_set("s"))).scalar()  # the columns of the matrix
-    square = kept.select(F.col("s").alias("sample_1"), F.explode(every).alias("sample_2"))
-    out = square.join(values, ["sample_1", "sample_2"], "left")
+    kept = held.where(n_samples - F.col("n") <= max_null)
+    out = combined(kept.select(F.col("sample_2").alias("sample_1")), kept.select("sample_2")).join(values, ["sample_1", "sample_2"], "left")
     return out if impute is None else out.fillna(impute, ["genome_pop_ani"])
 
 
+def identified_samples(comps: DataFrame, genome: str) -> DataFrame:
+    """``genome, n_samples``: how many different samples the comparisons of a genome have, on either side."""
+    both = comps.where(F.col("genome") == genome).select("genome", F.explode(F.array("sample_1", "sample_2")).alias("s"))
+    return both.where("s is not null").groupBy("genome").agg(F.count_distinct("s").alias("n_samples"))
+
+
 def sample_rows(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
-    """At most ``n`` rows per key, drawn without replacement by a seeded order."""
+    """At most ``n`` rows per key, drawn without replacement by a seeded order.
+
+    Spark limits each partition to ``n`` rows of a key before it shuffles (WindowGroupLimit, up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``), so a key of very many rows never meets in one task.
+    """
     w = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *(c for c in df.columns)), *df.columns)
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")

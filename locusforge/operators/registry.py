@@ -8,16 +8,17 @@ from dataclasses import asdict, dataclass, fields, replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from locusforge import schemas
+from locusforge.operators.blocks import combined
 from locusforge.sources import io
 
 
 def remaining_pairs(names: DataFrame, done: DataFrame) -> DataFrame:
     """``profile_1, profile_2`` (profile_1 < profile_2) of the distinct ``profile_name`` that ``done`` (``sample_1, sample_2``, in
-    either order) lacks, sorted."""
+    either order) lacks, in no order. The pairs are the result itself; they are made by pairs of blocks of names."""
     n = names.select("profile_name").where("profile_name is not null").distinct()
-    pairs = n.select(F.col("profile_name").alias("profile_1")).join(n.select(F.col("profile_name").alias("profile_2")), F.col("profile_1") < F.col("profile_2"))
+    pairs = combined(n.select(F.col("profile_name").alias("profile_1")), n.select(F.col("profile_name").alias("profile_2"))).where("profile_1 < profile_2")
     finished = done.where("sample_1 is not null and sample_2 is not null").select(F.least("sample_1", "sample_2").alias("profile_1"), F.greatest("sample_1", "sample_2").alias("profile_2")).distinct()
-    return pairs.join(finished, ["profile_1", "profile_2"], "left_anti").orderBy("profile_1", "profile_2")
+    return pairs.join(finished, ["profile_1", "profile_2"], "left_anti")
 
 
 def completion_table(pairs: DataFrame, registry: DataFrame) -> DataFrame:
@@ -77,8 +78,9 @@ class ProfileDatabase:
 
     def _validate(self, df: DataFrame) -> None:
         schemas.require(df.columns, schemas.REGISTRY)
-        if any(not self._exists(p) for r in df.select("profile_location", "scaffold_location").distinct().toLocalIterator() for p in r):
-            raise ValueError("a profile or scaffold file of the registry does not exist")
+        places = df.select(F.explode(F.array("profile_location", "scaffold_location")).alias("p")).distinct()
+        if lost := io.missing(self.spark, (r[0] for r in places.toLocalIterator())):  # a row per file
+            raise ValueError(f"{len(lost)} profile or scaffold files of the registry do not exist, such as {lost[0]!r}")
 
     def add_profile(self, **values: str) -> None:
         try:
@@ -142,7 +144,7 @@ class ComparisonConfig:
     to_dict = asdict
 
     def to_json(self, path: str) -> None:
-        io.write_json(asdict(self), path)
+        io.write_json(asdict(self), path)  # a path with a scheme goes through the file system that Spark knows
 
     @classmethod
     def from_json(cls, path: str) -> ComparisonConfig:
@@ -181,7 +183,8 @@ class ComparisonDatabase:
         return {r[0] for r in profile_names(self.df).toLocalIterator()}
 
     def remaining_pairs(self) -> DataFrame:
-        return remaining_pairs(self.profiles.df, self.df)
+        """The pairs that are missing, sorted."""
+        return remaining_pairs(self.profiles.df, self.df).orderBy("profile_1", "profile_2")
 
     def is_complete(self) -> bool:
         return self.remaining_pairs().isEmpty()

@@ -10,8 +10,10 @@ from locusforge.conventions import BASES, coverage as base_coverage, quoted, sam
 from locusforge.functions.nullmodel import null_model as poisson_model
 from locusforge.functions.pileup import base_counts, clean_bases
 from locusforge.operators import compare, coverage, intervals, population, registry
-from locusforge.schemas import COMPARISON, PROFILE
+from locusforge.operators.blocks import combined
+from locusforge.schemas import COMPARISON, PROFILE, REGISTRY
 from locusforge.session import ensure_checkpoint_dir, read_table
+from locusforge.sources import io
 from locusforge.streaming import ingest
 
 MIN_COV, MIN_GENE = 5, 5
@@ -234,7 +236,8 @@ def pileup_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the checkpoints, removed when the program ends."""
+    return io.scratch(spark, f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 def pileup_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -329,11 +332,160 @@ def chunk_split(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("scaffold").alias("first"), F.max("scaffold").alias("last"))
 
 
+def breadth_tables_collected(spark: SparkSession, d: str) -> DataFrame:
+    """The breadth matrix from four tables that hold a part of the samples each, back in long form without the gaps."""
+    breadth = genome_breadth(spark, d).where("genome is not null")
+    names = sorted(r[0] for r in profile(spark, d).select("sample").distinct().collect())
+    tables = [coverage.breadth_matrix(breadth, names[k::4]) for k in range(4) if names[k::4]]
+    if not tables:
+        return breadth.select("genome", "sample", "breadth")
+    return coverage.unpivot_breadth(coverage.collect_breadth_tables(tables), fill=None).where("breadth is not null")
+
+
+#: Positions that a base of the written reference sequence stands for, and bases in a segment.
+PER_BASE, SEGMENT = 200, 250
+
+
+def fasta_segments(spark: SparkSession, d: str) -> DataFrame:
+    """A reference FASTA of all scaffolds, sequences over many lines, written, read and cut into segments."""
+    place = _shared_folder(spark, "fasta")
+    lengths = bed(spark, d).groupBy("scaffold").agg(F.max("end").alias("length")).select("scaffold", F.expr(f"cast(length div {PER_BASE} as int)").alias("n"))
+    sequence = F.regexp_replace(F.repeat(F.lit("A"), F.col("n")), "(A{60})", "$1\n")
+    lengths.select(F.concat(F.lit(">"), "scaffold", F.lit(" invented\n"), sequence).alias("value")).write.text(place)
+    return intervals.segments(io.read_fasta_lengths(spark, place), SEGMENT)
+
+
+def gene_fasta_file(spark: SparkSession, d: str) -> DataFrame:
+    """Gene ranges from the headers of a gene FASTA file that is written and read."""
+    place = _shared_folder(spark, "genes")
+    r = _gene_ranges(spark, d)
+    header = F.concat(F.lit(">"), "scaffold", F.lit("_"), F.regexp_extract("gene", "([^_]*)$", 1), F.lit(" # "), "start", F.lit(" # "), "end", F.lit(" # -1 # ID=1_1"))
+    r.select(F.explode(F.array(header, F.lit("ATGACC"), F.lit(""))).alias("value")).write.text(place)
+    return io.read_gene_fasta(spark, place)
+
+
+def merged_parquet_files(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles in several folders of files, read as one."""
+    place = _shared_folder(spark, "profiles")
+    rows = profile(spark, d)
+    for k in range(2):
+        io.write_parquet(rows.where(F.pmod(F.xxhash64("sample"), F.lit(2)) == k), f"{place}/{k}")
+    return io.merge_parquet(spark, place).select("sample", "chrom", "pos", "gene", *BASES)
+
+
+def _gene_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Pileup lines of every profile row under the name of its scaffold."""
+    parts = [F.repeat(F.lit(x), F.col(b).cast("int")) for b, x in zip(BASES, "acgt")]
+    return profile(spark, d).select(F.concat_ws("\t", "chrom", "pos", F.lit("N"), F.lit("1"), F.concat(F.lit("^]"), *parts, F.lit("$"))).alias("value"))
+
+
+def pileup_with_genes(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.pileup_profile(_gene_lines(spark, d), _gene_ranges(spark, d))
+
+
+def pileup_stream_with_genes(spark: SparkSession, d: str) -> DataFrame:
+    """The same as a stream of files, each micro-batch annotated."""
+    place = _shared_folder(spark, "pileups")
+    _gene_lines(spark, d).write.text(f"{place}/in")
+    ranges = f"{place}/ranges"
+    io.write_tsv(_gene_ranges(spark, d).select("gene", "scaffold", "start", "end"), ranges)
+    ingest.stream_pileups(spark, f"{place}/in", f"{place}/out", f"{place}/state", io.read_gene_ranges(spark, ranges)).awaitTermination()
+    files = spark.read.option("recursiveFileLookup", "true").schema(PROFILE)
+    return files.parquet(f"{place}/out") if io.exists(spark, f"{place}/out") else spark.createDataFrame([], PROFILE)
+
+
+def compare_light_mode(spark: SparkSession, d: str) -> DataFrame:
+    p = profile(spark, d)
+    one, two = (p.where(F.col("sample") == s) for s in SINGLE_PAIR)
+    return compare.compare_pair(one, two, stb(spark, d), min_cov=MIN_COV, min_gene_length=MIN_GENE, memory_mode="light")
+
+
+def tsv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The scaffold table and the segments through headerless files, joined again."""
+    place = _shared_folder(spark, "tsv")
+    io.write_tsv(stb(spark, d), f"{place}/stb")
+    io.write_tsv(bed(spark, d), f"{place}/bed")
+    return io.read_bed(spark, f"{place}/bed").join(io.read_stb(spark, f"{place}/stb"), "scaffold", "left")
+
+
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The registry through a file with a header."""
+    place = _shared_folder(spark, "csv")
+    io.write_csv(_registry(spark, d), place)
+    return io.read_csv(spark, place, REGISTRY) if not _registry(spark, d).isEmpty() else _registry(spark, d)
+
+
+CONFIG = {"gene_db_id": "gene_ref", "reference_id": "ref", "scope": "gen_00003,gen_00000,gen_00001", "min_cov": 5, "min_gene_compare_len": 100}
+
+
+def config_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Two configurations through JSON files, and the scope that both have."""
+    place = _shared_folder(spark, "config")
+    io.write_parquet(spark.range(1), place)
+    one = registry.ComparisonConfig.from_dict(CONFIG)
+    two = registry.ComparisonConfig.from_dict(CONFIG | {"scope": "gen_00002, gen_00001,gen_00000"})
+    for name, c in (("one", one), ("two", two)):
+        c.to_json(f"{place}/{name}.json")
+    read = [registry.ComparisonConfig.from_json(f"{place}/{n}.json") for n in ("one", "two")]
+    return spark.createDataFrame([(read[0].scope, read[1].scope, read[0].is_compatible(read[1]), read[0].common_scope(read[1]).scope, read[0].min_cov)], "scope_1 string, scope_2 string, compatible boolean, common string, min_cov long")
+
+
+def _profile_database(spark: SparkSession, d: str, place: str) -> registry.ProfileDatabase:
+    """A database of the registered samples that the profile holds, each with a folder of its own, through CSV, a merge and files."""
+    held = profile(spark, d).select("sample", "chrom").distinct()
+    io.write_parquet(held, f"{place}/files", partition_by=["sample"])
+    names = held.select(F.col("sample").alias("profile_name")).distinct()
+    folder = F.concat(F.lit(f"{place}/files/sample="), "profile_name")
+    rows = _registry(spark, d).join(names, "profile_name", "left_semi").withColumns({"profile_location": folder, "scaffold_location": folder})
+    rows = rows.select(*REGISTRY.names)
+    one, two = registry.ProfileDatabase(spark), registry.ProfileDatabase(spark)
+    one.df, two.df = rows.where(F.pmod(F.xxhash64("profile_name"), F.lit(3)) < 2), rows.where(F.pmod(F.xxhash64("profile_name"), F.lit(3)) > 0)
+    one.add_database(two)
+    one.save_as_new_database(f"{place}/registry")
+    one.update_database()
+    return registry.ProfileDatabase(spark, f"{place}/registry")
+
+
+def profile_database(spark: SparkSession, d: str) -> DataFrame:
+    return _profile_database(spark, d, _shared_folder(spark, "registry")).df.select("profile_name", "reference_db_id", "gene_db_id")
+
+
+def comparison_database(spark: SparkSession, d: str) -> DataFrame:
+    """What is left to compare after two databases were merged, saved, described in a file and loaded again."""
+    place = _shared_folder(spark, "comparisons")
+    profiles = _profile_database(spark, d, place)
+    known = profiles.df.select("profile_name")
+    done = comparisons(spark, d).join(known.withColumnRenamed("profile_name", "sample_1"), "sample_1", "left_semi").join(known.withColumnRenamed("profile_name", "sample_2"), "sample_2", "left_semi").select(*COMPARISON.names)
+    one, two = (registry.ComparisonDatabase(profiles, registry.ComparisonConfig.from_dict(CONFIG)) for _ in range(2))
+    one.df, two.df = done.where("genome < 'gen_00010'"), done.where("genome >= 'gen_00005'")
+    one.add_comp_database(two)
+    one.save_new_compare_database(f"{place}/table")
+    one.update_compare_database()
+    one.dump(f"{place}/database.json")
+    return registry.remaining_pairs(profiles.df, registry.ComparisonDatabase.load(spark, f"{place}/database.json").df)
+
+
+def ibs_survival_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Survival curves of the lists of every genome and every label that occurs; -1 where a genome has no run of the label."""
+    runs = _runs(spark, d).where("max_consecutive_length is not null")
+    every = combined(runs.select("genome").distinct(), runs.select("label").distinct())
+    lists = runs.groupBy("genome", "label").agg(F.sort_array(F.collect_list("max_consecutive_length")).alias("list"))
+    lists = every.join(lists, ["genome", "label"], "left").withColumn("list", F.coalesce("list", F.array(F.lit(-1).cast("long"))))
+    s = population.list_survival(lists, ["genome", "label"])
+    return s.select("genome", "label", F.size("upper_edge").alias("n_steps"), F.element_at("upper_edge", 1).alias("top_edge"), F.element_at("share_at_or_above", -1).alias("last_share"))
+
+
+def genome_sample_count(spark: SparkSession, d: str) -> DataFrame:
+    return population.identified_samples(comparisons(spark, d), GENOME)
+
+
 NAMES = """coverage_filter error_adjust shared_loci_popani shared_loci_conani shared_loci_cosani contiguity_blocks longest_blocks genome_popani gene_ani_summary
 compare_genomes compare_genomes_error_model compare_genomes_scoped compare_remaining_pairs compare_genes compare_zero_filled unique_scaffolds strain_heterogeneity
 genome_length genome_breadth breadth_matrix_full_join breadth_unpivot gene_ranges gene_loc_explode gene_range_annotate bed_segments pileup_clean_count pileup_batch pileup_stream incremental_completion null_model
 remaining_pairs completion_table merge_distinct profile_names strain_sharing ibs_labels ibs_lists ibs_cdf ibs_distance ibs_heatmap identical_vs_popani
-similarity_matrix sampled_sharing chunk_split""".split()
+similarity_matrix sampled_sharing chunk_split
+breadth_tables_collected fasta_segments gene_fasta_file merged_parquet_files pileup_with_genes pileup_stream_with_genes compare_light_mode tsv_round_trip csv_round_trip
+config_round_trip profile_database comparison_database ibs_survival_lists genome_sample_count""".split()
 
 
 def queries() -> dict:

@@ -86,6 +86,14 @@ di AS (SELECT pr.genome, pr.lo || '-' || pr.hi AS pair, coalesce((ed.w - ed.b) *
 _PILEUP = "SELECT sample || '|' || chrom AS chrom, CAST(pos AS INTEGER) AS pos, 'NA' AS gene, CAST(A AS INTEGER) AS A, CAST(C AS INTEGER) AS C, CAST(G AS INTEGER) AS G, CAST(T AS INTEGER) AS T FROM p"
 
 
+_ZERO_FILLED = (
+    _with("p", "f", _loci("f", _DOT, f"x.sample = '{q.SINGLE_PAIR[0]}' AND y.sample = '{q.SINGLE_PAIR[1]}'"), "s", "sh", _COMPARE)
+    + f"""SELECT coalesce(cg.genome, a.genome) AS genome, {", ".join(f"coalesce(cg.{x}, 0) AS {x}" for x in "total_positions share_allele_pos genome_pop_ani max_consecutive_length shared_genes_count identical_gene_count perc_id_genes".split())},
+  '{q.SINGLE_PAIR[0]}' AS sample_1, '{q.SINGLE_PAIR[1]}' AS sample_2 FROM cg FULL JOIN (SELECT DISTINCT genome FROM s) a ON a.genome = cg.genome"""
+)
+_GENE_PILEUP = _with("p", "r", "w AS (SELECT DISTINCT chrom, pos FROM p)", "k AS (SELECT w.chrom, w.pos, r.gene, row_number() OVER (PARTITION BY w.chrom, w.pos ORDER BY r.s0 DESC NULLS LAST, r.gene DESC NULLS LAST) AS rn FROM w LEFT JOIN r ON r.scaffold = w.chrom AND w.pos BETWEEN r.s0 AND r.e0)") + "SELECT p.chrom, CAST(p.pos AS INTEGER) AS pos, coalesce(k.gene, 'NA') AS gene, CAST(A AS INTEGER) AS A, CAST(C AS INTEGER) AS C, CAST(G AS INTEGER) AS G, CAST(T AS INTEGER) AS T FROM p JOIN k ON k.rn = 1 AND k.chrom = p.chrom AND k.pos = p.pos"
+
+
 def oracle_sql() -> dict[str, str]:
     counts = "CAST(A AS BIGINT) AS A, CAST(C AS BIGINT) AS C, CAST(G AS BIGINT) AS G, CAST(T AS BIGINT) AS T"
     pop1, pop2 = q.POPULATIONS
@@ -105,9 +113,7 @@ def oracle_sql() -> dict[str, str]:
         "compare_genomes_scoped": _with("p", _S1, _SCOPED, f"f AS (SELECT * FROM p WHERE cov >= {q.MIN_COV} AND chrom IN (SELECT scaffold FROM s))", _POP, "sh", _COMPARE) + "SELECT * FROM cg",
         "compare_remaining_pairs": _with("p", "f", "c", "g", "rp", _POP.replace("l AS (", "l1 AS (", 1), "l AS (SELECT l1.* FROM l1 JOIN rp ON rp.profile_1 = l1.sample_1 AND rp.profile_2 = l1.sample_2)", "s", "sh", _COMPARE) + "SELECT * FROM cg",
         "compare_genes": _with("p", "f", _POP, "s", "sh") + f"SELECT sample_1, sample_2, genome, gene, CAST(count(*) AS BIGINT) AS total_positions, CAST(count(*) FILTER (WHERE surr > 0) AS BIGINT) AS share_allele_pos, CAST(count(*) FILTER (WHERE surr > 0) AS DOUBLE) / count(*) * 100 AS ani FROM lg GROUP BY 1, 2, 3, 4 HAVING count(*) >= {q.MIN_GENE}",
-        "compare_zero_filled": _with("p", "f", _loci("f", _DOT, f"x.sample = '{q.SINGLE_PAIR[0]}' AND y.sample = '{q.SINGLE_PAIR[1]}'"), "s", "sh", _COMPARE)
-        + f"""SELECT coalesce(cg.genome, a.genome) AS genome, {", ".join(f"coalesce(cg.{x}, 0) AS {x}" for x in "total_positions share_allele_pos genome_pop_ani max_consecutive_length shared_genes_count identical_gene_count perc_id_genes".split())},
-  '{q.SINGLE_PAIR[0]}' AS sample_1, '{q.SINGLE_PAIR[1]}' AS sample_2 FROM cg FULL JOIN (SELECT DISTINCT genome FROM s) a ON a.genome = cg.genome""",
+        "compare_zero_filled": _ZERO_FILLED,
         "unique_scaffolds": _with("p") + "SELECT DISTINCT chrom AS scaffold FROM p",
         "strain_heterogeneity": _with("p", "s") + "SELECT p.sample, s.genome, CAST(count(*) AS BIGINT) AS total_sites_at_5_coverage, CAST(count(*) FILTER (WHERE CAST(greatest(A, C, G, T) AS DOUBLE) / cov < 0.8) AS BIGINT) AS heterogeneous_sites, CAST(count(*) FILTER (WHERE CAST(greatest(A, C, G, T) AS DOUBLE) / cov < 0.8) AS DOUBLE) / count(*) AS strain_heterogeneity FROM p LEFT JOIN s ON s.scaffold = p.chrom WHERE cov >= 5 GROUP BY 1, 2",
         "genome_length": _with("s", "b", "gl") + "SELECT genome, CAST(genome_length AS BIGINT) AS genome_length FROM gl",
@@ -147,4 +153,20 @@ FROM c LEFT JOIN o x ON x.sample = c.sample_1 LEFT JOIN o y ON y.sample = c.samp
         + "SELECT a.s AS sample_1, z.s AS sample_2, coalesce(m.genome_pop_ani, 97.0) AS genome_pop_ani FROM kp a CROSS JOIN kp z LEFT JOIN m ON m.sample_1 = a.s AND m.sample_2 = z.s",
         "sampled_sharing": _with("p", "s", "b", "gl", "br", "c", "o", _SHARING) + "SELECT pair, CAST(least(count(*), 20) AS BIGINT) AS n FROM ss GROUP BY 1",
         "chunk_split": _with("b", "k AS (SELECT *, row_number() OVER (ORDER BY scaffold, s0, e0) - 1 AS rn, greatest(count(*) OVER () // 7, 1) AS size FROM b)") + "SELECT CAST(least(rn // size, 6) AS BIGINT) AS chunk, CAST(count(*) AS BIGINT) AS n, min(scaffold) AS \"first\", max(scaffold) AS \"last\" FROM k GROUP BY 1",
+        "breadth_tables_collected": _with("p", "s", "b", "gl", "br") + "SELECT genome, sample, breadth FROM br WHERE genome IS NOT NULL AND breadth IS NOT NULL",
+        "fasta_segments": _with("b", f"m AS (SELECT scaffold, max(e0) // {q.PER_BASE} AS n FROM b GROUP BY 1)", f"k AS (SELECT scaffold, n, unnest(range(0, n, {q.SEGMENT})) AS s0 FROM m WHERE n > 0)") + f"SELECT scaffold, CAST(s0 AS BIGINT) AS \"start\", CAST(least(s0 + {q.SEGMENT}, n) AS BIGINT) AS \"end\" FROM k",
+        "gene_fasta_file": _with("p", "r") + "SELECT scaffold || '_' || regexp_extract(gene, '([^_]*)$', 1) AS gene, scaffold, s0 AS \"start\", e0 AS \"end\" FROM r",
+        "merged_parquet_files": _with("p") + f"SELECT sample, chrom, pos, gene, {counts} FROM p",
+        "pileup_with_genes": _GENE_PILEUP,
+        "pileup_stream_with_genes": _GENE_PILEUP,
+        "compare_light_mode": _ZERO_FILLED,
+        "tsv_round_trip": _with("s", "b") + "SELECT b.scaffold, CAST(s0 AS BIGINT) AS \"start\", CAST(e0 AS BIGINT) AS \"end\", s.genome FROM b LEFT JOIN s ON s.scaffold = b.scaffold",
+        "csv_round_trip": _with("g") + "SELECT * FROM g",
+        "config_round_trip": "SELECT 'gen_00003,gen_00000,gen_00001' AS scope_1, 'gen_00002, gen_00001,gen_00000' AS scope_2, true AS compatible, 'gen_00000,gen_00001' AS common, CAST(5 AS BIGINT) AS min_cov",
+        "profile_database": _with("p", "g") + "SELECT DISTINCT profile_name, reference_db_id, gene_db_id FROM g WHERE profile_name IN (SELECT sample FROM p)",
+        "comparison_database": _with("p", "c", "g", "rp") + "SELECT * FROM rp WHERE profile_1 IN (SELECT sample FROM p) AND profile_2 IN (SELECT sample FROM p)",
+        "ibs_survival_lists": _with("c", "o", "i", "iv AS (SELECT * FROM i WHERE v IS NOT NULL)", f"hb AS (SELECT genome, label, least(CAST(floor(v / {_WIDTH}) AS BIGINT), 9998) AS bin, count(*) AS n FROM iv WHERE v BETWEEN 0 AND 50000 GROUP BY 1, 2, 3)",
+            f"hl AS (SELECT genome, label, count(*) AS n_steps, (max(bin) + 1) * {_WIDTH} AS top_edge FROM hb GROUP BY 1, 2)", "ev AS (SELECT x.genome, y.label FROM (SELECT DISTINCT genome FROM iv) x CROSS JOIN (SELECT DISTINCT label FROM iv) y)")
+        + "SELECT ev.genome, ev.label, CAST(coalesce(hl.n_steps, 1) AS INTEGER) AS n_steps, CAST(coalesce(hl.top_edge, -1.0) AS DOUBLE) AS top_edge, CAST(CASE WHEN hl.n_steps IS NULL THEN -1 ELSE 1 END AS DOUBLE) AS last_share FROM ev LEFT JOIN hl ON hl.genome = ev.genome AND hl.label = ev.label WHERE hl.n_steps IS NOT NULL OR NOT EXISTS (SELECT 1 FROM iv WHERE iv.genome = ev.genome AND iv.label = ev.label)",
+        "genome_sample_count": _with("c") + f"SELECT genome, CAST(count(DISTINCT s) AS BIGINT) AS n_samples FROM (SELECT genome, sample_1 AS s FROM c UNION ALL SELECT genome, sample_2 FROM c) z WHERE genome = '{q.GENOME}' GROUP BY 1",
     }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[*]", app: str = "locusforge", **conf: str) -> SparkSession:
@@ -48,7 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if named:
         sc.setCheckpointDir(named)
     elif sc.master.startswith("local[") or sc.master == "local":
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="locusforge-checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="locusforge-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     else:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return sc.getCheckpointDir()
@@ -60,21 +63,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` with its rows over all cores, for costly work per row on inputs that lie in a few large row groups.
+def spread(df: DataFrame, key: str, least: int | None = None) -> DataFrame:
+    """``df`` in at least ``least`` partitions (the cores of the session if not given), for costly work per row.
 
-    Inputs of many partitions stay as they are, as do those whose largest partition is no more than twice its share;
-    that is read from row counts alone, which Parquet keeps beside the data. Only the others are shuffled, by ``key``.
+    Inputs that have as many stay as they lie, so that large texts are never shuffled; a few files are dealt by ``key``. Only the number
+    of partitions counts, which the plan has.
     """
     cores = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    n = df.rdd.getNumPartitions()
-    if n >= 4 * cores:
-        return df
-    if n >= cores:
-        sizes = df.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
-        if not sizes[1] or sizes[0] * cores <= 2 * sizes[1]:
-            return df
-    return df.repartition(3 * cores, key)
+    return df if df.rdd.getNumPartitions() >= (cores if least is None else least) else df.repartition(3 * cores, key)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

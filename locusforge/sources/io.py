@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import json
-import os
-import shutil
+import re
 import uuid
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,6 +17,9 @@ from locusforge import schemas
 from locusforge.operators import intervals
 
 
+_SCHEME = re.compile("[A-Za-z][A-Za-z0-9+.-]+:/")
+
+
 def read_parquet(spark: SparkSession, path: str | list[str], schema: StructType | None = None) -> DataFrame:
     """One or several files or folders as one frame."""
     r = spark.read if schema is None else spark.read.schema(schema)
@@ -23,11 +28,22 @@ def read_parquet(spark: SparkSession, path: str | list[str], schema: StructType
 
 def merge_parquet(spark: SparkSession, folder: str) -> DataFrame:
     """All Parquet files of a folder; ValueError if there are none."""
-    if "://" not in folder and not any(Path(folder).rglob("*.parquet")):
+    if not _holds_parquet(spark, folder):
         raise ValueError(f"no Parquet files in {folder}")
     return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(folder)
 
 
+def _holds_parquet(spark: SparkSession, folder: str) -> bool:
+    fs, P = _filesystem(spark, folder)
+    if not fs.exists(P(folder)):
+        return False
+    files = fs.listFiles(P(folder), True)
+    while files.hasNext():
+        if files.next().getPath().getName().endswith(".parquet"):
+            return True
+    return False
+
+
 def read_tsv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Tab separated, without header."""
     return spark.read.csv(path, sep="\t", schema=schema, header=False)
@@ -59,7 +75,7 @@ def read_gene_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fasta_lengths(spark: SparkSession, path: str) -> DataFrame:
     """Scaffold lengths of a reference FASTA file; FileNotFoundError if it is missing."""
-    if "://" not in path and not os.path.exists(path):
+    if not exists(spark, path):
         raise FileNotFoundError(path)
     return intervals.fasta_lengths(spark.read.text(path, lineSep=">"))
 
@@ -82,16 +98,24 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def replace_parquet(df: DataFrame, path: str) -> DataFrame:
-    """Overwrite a folder that ``df`` may itself be read from: write beside it, then swap, then read again."""
+    """Overwrite a folder that ``df`` may itself be read from: write beside it, then swap, then read again.
+
+    A failed write leaves the old folder as it was and nothing beside it; a failed swap puts the old folder back. File systems have no
+    exchange of folders, so that a reader that lists the folder between the two renames finds none and must try again.
+    """
     new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    write_parquet(df, new)
     spark = df.sparkSession
     fs, P = _filesystem(spark, path)
-    if fs.exists(P(path)) and not fs.rename(P(path), P(old)):
-        raise OSError(f"can't move {path}")
-    if not fs.rename(P(new), P(path)):
-        fs.rename(P(old), P(path))
-        raise OSError(f"can't move {new}")
+    try:
+        write_parquet(df, new)
+        if fs.exists(P(path)) and not fs.rename(P(path), P(old)):
+            raise OSError(f"can't move {path}")
+        if not fs.rename(P(new), P(path)):
+            fs.rename(P(old), P(path))
+            raise OSError(f"can't move {new}")
+    except BaseException:
+        fs.delete(P(new), True)
+        raise
     fs.delete(P(old), True)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -106,13 +130,76 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(P(path))
 
 
-def write_json(value: object, path: str) -> None:
-    Path(path).write_text(json.dumps(value, indent=1, sort_keys=True), encoding="utf-8")
+def missing(spark: SparkSession, paths: Iterable[str | None]) -> list[str | None]:
+    """Those of the paths that do not exist, in order; null never exists. Each folder that holds any is listed once, many at a time."""
+    folders: dict[str, set[str]] = {}
+    lost = []
+    for p in paths:
+        if p is None or not p.strip("/"):
+            lost.append(p)
+        else:
+            folder, _, name = p.rstrip("/").rpartition("/")
+            folders.setdefault(folder or ("/" if p.startswith("/") else "."), set()).add(name)
 
+    def check(item: tuple[str, set[str]]) -> list[str]:
+        fs, P = _filesystem(spark, item[0])
+        there = {x.getPath().getName() for x in fs.listStatus(P(item[0]))} if fs.exists(P(item[0])) else set()
+        return [f"{item[0].rstrip('/')}/{n}" for n in item[1] - there]
+
+    with ThreadPoolExecutor(16) as pool:
+        for some in pool.map(check, folders.items()):
+            lost += some
+    return sorted(lost, key=lambda p: (p is not None, p or ""))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark names files in ``input_file_name``."""
+    fs, P = _filesystem(spark, path)
+    return fs.makeQualified(P(path)).toUri().toString()
 
-def read_json(path: str) -> object:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
 
+def by_file(rows: DataFrame, names: Iterable[tuple[str, str]], column: str) -> DataFrame:
+    """Rows read from several files or folders of files, with the names that ``names`` (path, name) gives their file or its folder.
 
-def remove(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)
+    One read serves all of them; the names are joined. Rows of other files are left out, those of a file with several names come
+    once for each.
+    """
+    spark = rows.sparkSession
+    table = spark.createDataFrame([(qualified(spark, p), n) for p, n in names], f"__path string, `{column}` string")
+    place = F.regexp_replace(F.input_file_name(), "^file:/+", "file:/")
+    found = rows.withColumn("__file", place).withColumn("__folder", F.regexp_replace("__file", "/[^/]*$", ""))
+    table = table.withColumn("__path", F.regexp_replace("__path", "^file:/+", "file:/"))
+    return found.withColumn("__path", F.explode(F.array("__file", "__folder"))).join(table, "__path").drop("__path", "__file", "__folder")
+
+
+def scratch(spark: SparkSession, path: str) -> str:
+    """``path``, which is deleted as the program ends, if the session still runs then."""
+
+    def remove() -> None:
+        if SparkSession.getActiveSession() is not None or not spark._jsc.sc().isStopped():
+            try:
+                fs, P = _filesystem(spark, path)
+                fs.delete(P(path), True)
+            except Exception:  # noqa: BLE001 - the session is gone
+                pass
+
+    atexit.register(remove)
+    return path
+
+
+def write_json(value: object, path: str) -> None:
+    """A JSON file; a path with a scheme goes to that file system through the active session, others are local."""
+    text = json.dumps(value, indent=1, sort_keys=True)
+    if not _SCHEME.match(path):
+        Path(path).write_text(text, encoding="utf-8")
+        return
+    fs, P = _filesystem(SparkSession.active(), path)
+    out = fs.create(P(path), True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+
+
+def read_json(path: str) -> object:
+    if not _SCHEME.match(path):
+        return json.loads(Path(path).read_text(encoding="utf-8"))
+    return json.loads(SparkSession.active().read.text(path, wholetext=True).first()[0])

@@ -15,18 +15,19 @@ from locusforge.schemas import PROFILE
 from locusforge.sources import io
 
 
-def pileup_counts(lines: DataFrame) -> DataFrame:
-    """``chrom, pos, A, C, G, T`` of lines ``chrom pos ref depth bases [...]`` in ``value``; lines with fewer fields are left out."""
+def pileup_counts(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``chrom, pos, A, C, G, T`` and the columns to keep of lines ``chrom pos ref depth bases [...]`` in ``value``; lines with fewer
+    fields are left out."""
     f = F.split("value", "\t")
-    rows = lines.where(F.size(f) >= 5).select(f[0].alias("chrom"), F.trim(f[1]).try_cast("int").alias("pos"), clean_bases(f[4]).alias("__bases"))
-    return rows.where("chrom <> '' and pos is not null").select("chrom", "pos", *(c.cast("int").alias(b) for c, b in zip(base_counts(F.col("__bases")), BASES)))
+    rows = lines.where(F.size(f) >= 5).select(*keep, f[0].alias("chrom"), F.trim(f[1]).try_cast("int").alias("pos"), clean_bases(f[4]).alias("__bases"))
+    return rows.where("chrom <> '' and pos is not null").select(*keep, "chrom", "pos", *(c.cast("int").alias(b) for c, b in zip(base_counts(F.col("__bases")), BASES)))
 
 
-def pileup_profile(lines: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+def pileup_profile(lines: DataFrame, ranges: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Profile of pileup lines, annotated with genes if ranges are given. Stateless without ranges, so also for streams."""
-    counts = pileup_counts(lines)
+    counts = pileup_counts(lines, keep)
     counts = counts.withColumn("gene", F.lit(NO_NAME)) if ranges is None else annotate_genes(counts, ranges)
-    return counts.select(*PROFILE.names)
+    return counts.select(*keep, *PROFILE.names)
 
 
 def stream_pileups(spark: SparkSession, source: str, target: str, checkpoint: str, ranges: DataFrame | None = None) -> StreamingQuery:

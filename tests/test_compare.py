@@ -3,7 +3,7 @@ from fixtures import PROFILE, STB, brute, rows
 from pyspark.sql import functions as F
 
 from locusforge.functions import ani
-from locusforge.operators import compare
+from locusforge.operators import compare, pairing
 
 STATS = ["total_positions", "share_allele_pos", "genome_pop_ani", "max_consecutive_length", "shared_genes_count", "identical_gene_count", "perc_id_genes"]
 
@@ -125,3 +125,36 @@ def test_unmapped_scaffolds_are_na(spark):
     p = compare.prepare(spark.createDataFrame(rows("a") + rows("b"), PROFILE), 1)
     out = compare.genome_similarity(compare.compared(p), stb(spark).where("scaffold <> 'chr3'")).collect()
     assert {r.genome for r in out} == {"genome1", "NA"}
+
+
+def test_a_chunk_of_very_many_samples_is_split_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(pairing, "BLOCK", 128)
+    n, counts = 2000, [(9, 0, 0, 0), (0, 9, 0, 0), (5, 5, 0, 0)]
+    kinds = [(i * 7) % 3 for i in range(n)]
+    rows = [(f"s{i:04}", "hot", pos, "g" if pos < 2 else "NA", *counts[k]) for i, k in enumerate(kinds) for pos in range(3)]
+    p = spark.createDataFrame(rows, PROFILE)
+    groups = pairing.placed(p).groupBy("chrom", "chunk", "block_a", "block_b").agg(F.count_distinct("sample").alias("n")).collect()
+    assert max(g.n for g in groups) <= 3 * pairing.BLOCK and len(groups) > 100
+    per = {k: kinds.count(k) for k in range(3)}
+    sums = compare.compared(p).where("gene is not null").agg(F.sum("n"), F.sum("s"), F.count_distinct("sample_1", "sample_2")).first()
+    pairs = n * (n - 1) // 2
+    assert tuple(sums) == (3 * pairs, 3 * (pairs - per[0] * per[1]), pairs)
+    assert compare.compared(p).where("sample_1 >= sample_2").isEmpty()
+
+
+def test_every_way_gives_the_same_pieces(spark, monkeypatch):
+    monkeypatch.setattr(pairing, "CHUNK", 4)
+    monkeypatch.setattr(pairing, "CELLS", 60)
+    monkeypatch.setattr(pairing, "BLOCK", 2)
+    samples = {x: rows(x, seed, flips=f) for x, seed, f in (("a", 1, ()), ("b", 1, {("chr3", 9), ("chr2", 15)}), ("c", 2, ()), ("d", 1, {("chr1", 1)}), ("e", 3, ()))}
+    p = compare.prepare(spark.createDataFrame([r for s in samples.values() for r in s] + [("a", "chr1", None, None, 9, 9, 9, 9), (None, "chr1", 1, None, 9, 9, 9, 9)], PROFILE), 1)
+    for name in ("popani", "conani", "cosani_0.7"):
+        loci = compare.shared_loci(p, None, name)
+        for f in (lambda x: compare.compare_genomes(x, stb(spark), 2), lambda x: compare.compare_genes(x, stb(spark), 1), lambda x: compare.longest_blocks(x, stb(spark))):
+            assert sorted(map(str, f(compare.compared(p, name)).collect())) == sorted(map(str, f(loci).collect()))
+        assert sorted(map(str, compare.blocks(compare.compared(p, name, every_block=True)).collect())) == sorted(map(str, compare.blocks(loci).collect()))
+
+
+def test_two_equal_frames_are_two_frames(spark):
+    p = compare.prepare(spark.createDataFrame(rows("a") + rows("b"), PROFILE), 1)
+    assert {(r.sample_1, r.sample_2) for r in compare.shared_loci(p, p).select("sample_1", "sample_2").distinct().collect()} == {(x, y) for x in "ab" for y in "ab"}

@@ -158,6 +158,52 @@ def test_command_line_from_text_to_comparisons(spark, tmp_path):
     assert [(r.genome, r.sample_1, r.sample_2) for r in done] == [("genome1", "p1", "p2")]
     run("utilities", "merge_parquet", "--input-dir", t("cdb"), "--output", t("merged"))
     assert spark.read.parquet(t("merged")).count() == 1
+    (tmp_path / "samples.csv").write_text("sample_name,pileup\n" + "".join(f"{p},{t(p + '.pileup')}\n" for p in ("p1", "p2")))
+    table = ("--stb-file", t("stb.tsv"), "--gene-range-table", t("ranges"), "--bed-file", t("bed"), "--genome-length-file", t("lengths"), "--run-dir", t("run"))
+    run("run", "profile", "--input-table", t("samples.csv"), *table)
+    both = spark.read.parquet(t("run") + "/profiles")
+    for p in ("p1", "p2"):
+        assert sorted(map(tuple, both.where(f"sample = '{p}'").select(*schemas.PROFILE.names).collect())) == sorted(map(tuple, spark.read.parquet(t(f"{p}.parquet")).select(*schemas.PROFILE.names).collect()))
+    assert {(r["sample"], r.genome) for r in spark.read.parquet(t("run") + "/breadth").collect()} == {("p1", "genome1"), ("p2", "genome1"), ("p2", "genome2")}
+    (tmp_path / "bad.csv").write_text("sample_name,bam\nx,y\n")
+    (tmp_path / "gone.csv").write_text(f"sample_name,pileup\nx,{t('none')}\n")
+    with pytest.raises(ValueError, match="pileup"):
+        run("run", "profile", "--input-table", t("bad.csv"), *table)
+    with pytest.raises(FileNotFoundError):
+        run("run", "profile", "--input-table", t("gone.csv"), *table)
+    ComparisonConfig.from_dict(CONFIG | {"min_cov": 1, "min_gene_compare_len": 1, "stb_file_loc": t("stb.tsv")}).to_json(t("plain.json"))
+    new = ("run", "build-comp-database", "--profile-db-dir", t("pdb"), "--config-file", t("plain.json"))
+    with pytest.raises(FileNotFoundError):
+        run(*new, "--comp-db-file", t("none"), "--output-dir", t("built"))
+    run(*new, "--comp-db-file", t("cdb"), "--output-dir", t("built"))
+    assert ComparisonDatabase.load(spark, t("built") + "/database.json").is_complete()
+    run(*new, "--output-dir", t("fresh"))
+    run("run", "compare_genomes", "--database", t("fresh") + "/database.json")
+    assert sorted(map(tuple, spark.read.parquet(t("fresh") + "/comparisons").collect())) == sorted(map(tuple, done))
+    assert cli.setup_problems(spark) == []
     (tmp_path / "empty").mkdir()
     with pytest.raises(ValueError):
         run("utilities", "merge_parquet", "--input-dir", t("empty"), "--output", t("no"))
+
+
+def test_missing_files_are_found_by_folder(spark, tmp_path):
+    for n in ("a", "b c"):
+        (tmp_path / n).mkdir()
+        (tmp_path / n / "x").write_text("1")
+    paths = [f"{tmp_path}/{p}" for p in ("a", "a/x", "b c/x", "b c/y", "no/x")]
+    assert io.missing(spark, [*paths, None, ""]) == [None, "", *sorted(paths[3:])]
+    assert io.missing(spark, ["file://" + p for p in paths[:3]]) == [] and io.missing(spark, []) == []
+    rows = io.by_file(spark.read.text([paths[1], paths[2]]), [(paths[1], "one"), (paths[1], "two"), (f"{tmp_path}/b c", "three")], "name")
+    assert sorted(map(tuple, rows.collect())) == [("1", "one"), ("1", "three"), ("1", "two")]
+
+
+def test_json_and_replacement_through_the_file_system(spark, tmp_path):
+    path = f"file:{tmp_path}/x.json"
+    io.write_json({"a": "ü"}, path)
+    assert io.read_json(path) == io.read_json(f"{tmp_path}/x.json") == {"a": "ü"}
+    place = str(tmp_path / "t")
+    io.write_parquet(spark.range(3), place)
+    with pytest.raises(Exception, match="division|DIVIDE"):
+        io.replace_parquet(spark.range(2).selectExpr("1 / (id - 1) as id", "assert_true(id > 5) as x", "cast(raise_error('division') as int) as y"), place)
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("t")] == ["t"] and spark.read.parquet(place).count() == 3
+    assert io.replace_parquet(spark.read.parquet(place).where("id > 0"), place).count() == 2
