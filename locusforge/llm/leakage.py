@@ -35,7 +35,7 @@ SEGMENT, OVERLAP = 256, 64
 BLOCK_CHARS, PIECE_CHARS = 4_000_000, 600_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _GAP = "\x00"
-_REMARK = re.compile(r"\([^()\[\]\x00]*\)|\[[^()\[\]\x00]*\]")
+REMARK = re.compile(r"\([^()\[\]\x00]*\)|\[[^()\[\]\x00]*\]")
 _BROKEN = re.compile("(?<=\\w)[-\u2010\u00ad\u00ac][ \t]*\r?\n[ \t]*(?=\\w)")
 _WORD = re.compile(r"[^\W_]+|\x00")
 _UNSEEN = regex.compile(r"[\p{Mn}\p{Cf}]+")
@@ -45,7 +45,7 @@ def plain(text: str) -> str:
     """Lower case without accents, bracketed remarks, and hyphens at line ends; ``\\x00`` stays."""
     n = 1
     while n:
-        text, n = _REMARK.subn(" ", text)
+        text, n = REMARK.subn(" ", text)
     text = _BROKEN.sub("", text)
     if not text.isascii():
         text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text.casefold()))

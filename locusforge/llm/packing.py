@@ -1,29 +1,30 @@
 """Items of varying length in containers of fixed capacity, by lexical retrieval.
 
-Items are sharded by their leading term; a shard holds a bounded number of items and a BM25 inverted index over their
-terms. The longest unused item seeds a container; its unused neighbours, best score first and longer before shorter,
-fill the room that is left, and items without a common term come last, so that relatedness never costs room. Containers
-that a shard could not fill are opened again and their items packed in a further, smaller round, until one shard
-holds them. As soon as a round brings little, the next ones deal the items by a hash of the round, so that they meet others,
-until such a round brings nothing either. Items longer than the capacity are divided into full containers and one rest.
+Items lie in order of their leading terms and are cut into shards of equal size: terms with few items share one, a term with many
+has several, whatever its share of all. A shard has a BM25 inverted index over its items' terms. The longest unused item
+seeds a container; its unused neighbours, best score first and longer before shorter, fill the room that is left, and
+items without a common term come last, so that relatedness never costs room. Containers that a shard could not fill are
+opened again and their items packed in a further, smaller round, until one shard holds them. As soon as a round brings
+little, the next ones deal the items by a hash of the round, so that they meet others, until such a round brings nothing
+either. Items longer than the capacity are divided into full containers and one rest.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from locusforge.session import cut_lineage
 
-#: Items in a shard, on average; containers filled to this share stay as they are.
-SHARD, FULL = 2000, 0.995
+#: Items in a shard at most, shards in a task on average; containers filled to this share stay as they are.
+SHARD, SHARDS, FULL = 2000, 4, 0.995
 #: A round brings little if more than this share of its items lies in containers that are not full.
 LITTLE = 0.9
-#: Ways in which the shard counts of a leading term are spread, so that a hot term is not joined in one task.
-SALTS = 16
 K1, B = 1.2, 0.75
 _ROW = pa.schema([("item", pa.string()), ("lead", pa.string()), ("terms", pa.list_(pa.string())), ("piece", pa.int64()), ("piece_start", pa.int64()), ("length", pa.int64()), ("batch_id", pa.string()), ("batch_length", pa.int64())])
 _DDL = "item string, lead string, terms array<string>, piece long, piece_start long, length long, batch_id string, batch_length long"
@@ -83,33 +84,40 @@ def fill(lengths: np.ndarray, terms: list[list[str]], capacity: int) -> list[lis
 
 
 def _packer(capacity: int, round_no: int):
-    def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Rows in order to rows with their containers; every SHARD rows are packed together."""
+
+    def pack(table: pa.Table, name: str) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("item", "ascending"), ("piece", "ascending")])
         lengths = table["length"].to_numpy()
         ids, totals = np.empty(len(lengths), object), np.zeros(len(lengths), np.int64)
         for k, held in enumerate(fill(lengths, table["terms"].to_pylist(), capacity)):
-            ids[held] = f"{round_no}-{key[0].as_py()}-{k}"
+            ids[held] = f"{name}-{k}"
             totals[held] = lengths[held].sum()
         return pa.table([*(table[c] for c in ("item", "lead", "terms", "piece", "piece_start", "length")), pa.array(ids, pa.string()), pa.array(totals)], schema=_ROW)
 
-    return pack
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, shard, held = TaskContext.get().partitionId(), 0, None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            while held.num_rows >= SHARD:
+                yield from pack(held.slice(0, SHARD), f"{round_no}-{task}-{shard}").to_batches()
+                held, shard = held.slice(SHARD), shard + 1
+        if held is not None and held.num_rows:
+            yield from pack(held, f"{round_no}-{task}-{shard}").to_batches()
 
+    return over
 
-def _sharded(pieces: DataFrame, total: int, mix: int | None = None) -> DataFrame:
-    """``pieces`` with a shard number: terms with few items share shards, a term with many is split over several.
 
-    With ``mix`` the items are dealt by a hash salted with it, whatever their leading terms.
-    """
-    shards = max(1, -(-total // SHARD))
-    if shards == 1:
-        return pieces.withColumn("shard", F.lit(0).cast("long"))
-    if mix is not None:
-        return pieces.withColumn("shard", F.pmod(F.xxhash64("item", "piece", F.lit(mix)), F.lit(shards)))
-    salt = F.pmod(F.xxhash64("item", "piece"), F.lit(SALTS)).cast("int")
-    parts = pieces.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / SHARD).alias("parts"))
-    parts = parts.select("lead", "parts", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    part = F.pmod(F.xxhash64("item", "piece"), F.col("parts"))
-    return pieces.withColumn("salt", salt).join(parts, ["lead", "salt"]).withColumn("shard", F.pmod(F.xxhash64("lead", part), F.lit(shards))).drop("salt", "parts")
+def _packed(pieces: DataFrame, total: int, capacity: int, round_no: int, mixed: bool) -> DataFrame:
+    """``pieces`` with their containers. The tasks are ranges of (leading term, hash), of which a sample of the rows gives the borders,
+    so that a hot term is cut like any other; ``mixed`` deals by a hash of the round instead, whatever the terms."""
+    tasks = max(1, -(-total // (SHARD * SHARDS)))
+    salt = F.xxhash64("item", "piece", F.lit(round_no if mixed else 0))
+    keyed = pieces.withColumns({"__term": F.lit("") if mixed else F.col("lead"), "__salt": salt})
+    placed = keyed.repartition(1) if tasks == 1 else keyed.repartitionByRange(tasks, "__term", "__salt")
+    rows = placed.sortWithinPartitions("__term", "__salt").select("item", "lead", "terms", "piece", "piece_start", "length")
+    return cut_lineage(rows.mapInArrow(_packer(capacity, round_no), _DDL))
 
 
 def _places(packed: DataFrame) -> DataFrame:
@@ -134,7 +142,7 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     left, round_no, mixed = loose.count(), 0, False
     best, fewest = None, math.inf  # the containers that hold the loose items so far, and their number
     while left:
-        packed = cut_lineage(_sharded(loose, left, round_no if mixed else None).groupBy("shard").applyInArrow(_packer(capacity, round_no), _DDL))
+        packed = _packed(loose, left, capacity, round_no, mixed)
         is_open = F.col("batch_length") < int(FULL * capacity)
         each = packed.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.first("batch_length").alias("batch_length"))
         again, n, n_open = each.agg(F.coalesce(F.sum(F.when(is_open, F.col("n"))), F.lit(0)), F.count(F.lit(1)), F.count_if(is_open)).first()

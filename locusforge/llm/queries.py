@@ -55,6 +55,25 @@ def p2_genome_batches(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(items, GENOME_BATCH).withColumnRenamed("item", "genome")
 
 
+def _whole(placed: DataFrame, item: str, capacity: int) -> DataFrame:
+    """What is placed of each item: its pieces, their length, whether they follow on one another, and whether all their batches hold."""
+    totals = placed.groupBy("batch_id").agg(F.sum("piece_length").alias("held"))
+    rows = placed.join(totals, "batch_id").groupBy(item)
+    end = F.max(F.col("piece_start") + F.col("piece_length"))
+    fits = F.every((F.col("held") == F.col("batch_length")) & (F.col("held") <= capacity))
+    return rows.agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("piece_length").alias("length"), ((F.min("piece_start") == 0) & (end == F.sum("piece_length"))).alias("whole"), fits.alias("fits"))
+
+
+def p2_scaffold_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every scaffold with what its batches hold of it."""
+    return _whole(p2_scaffold_batches(spark, d), "scaffold", SCAFFOLD_BATCH)
+
+
+def p2_genome_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every genome with what its batches hold of it."""
+    return _whole(p2_genome_batches(spark, d), "genome", GENOME_BATCH)
+
+
 PERCENTS = (25, 50, 75, 90, 99)
 
 
@@ -117,6 +136,11 @@ def p7_offsets(spark: SparkSession, d: str) -> DataFrame:
     return o.select("doc_id", F.size("starts").alias("n_tokens"), F.coalesce(F.array_max("ends"), F.lit(0)).alias("last_char"))
 
 
+def p7_covered(spark: SparkSession, d: str) -> DataFrame:
+    """Characters that the tokens of each document cover."""
+    return p7_offsets(spark, d).select("doc_id", "last_char")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(_documents(spark, d), read_table(spark, d, "eval_items"))
 
@@ -126,7 +150,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_scaffold_batches, p2_genome_batches, p4_percentiles, p5_found, p7_ids, p7_decoded, p7_offsets, p8_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_scaffold_batches, p2_genome_batches, p2_scaffold_items, p2_genome_items, p4_percentiles, p5_found, p7_ids, p7_decoded, p7_offsets, p7_covered, p8_found, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,30 +1,39 @@
 """Reading level of documents by regularised ordinal regression.
 
-One pass counts the words of the whole corpus in a table of fixed size, from which word rarity is taken. A second
-computes features of the labelled sample, on which a proportional-odds model is fitted per language; a third
-scores every document. Remarks in brackets, fragments with numbers, and short formulas of address and thanks
-count as procedure and are left out of the features.
+A first pass over all documents counts their words and sets the labelled ones aside; the counts give the rarity of the common
+words, and the labelled documents are what a proportional-odds model is fitted on per language. A second pass scores every document.
+Remarks in brackets, fragments with numbers, and short formulas of address and thanks count as procedure and are left
+out of the features.
+
+Words are kept one by one as far as their share of the corpus is at least RAREST; of those there can be no more than
+1 / RAREST, however large the corpus, and all others have the rarity of that share.
 """
 
 from __future__ import annotations
 
+import math
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from locusforge.llm.leakage import REMARK
+from locusforge.session import cut_lineage
+
 LEVELS = 4
 #: Labelled documents that the model is fitted on at most; of more, those with the smallest hash of doc_id.
 SAMPLE = 20_000
 #: Characters from which a document gets a level.
 LEAST_CHARS = 200
-#: Cells of the table of word counts: rarity needs no exact vocabulary.
-CELLS = 1 << 17
+#: Share of all words from which a word has a rarity of its own (so at most 270,000 words have one), and its rarity.
+TOP_RARITY = 12.5
+RAREST = math.exp(-TOP_RARITY)
+#: Distinct words that a task counts before it passes the counts on.
+WORDS = 500_000
 PIECE_CHARS = 600_000
 RIDGE = 0.002
 
@@ -38,7 +47,6 @@ dass deren dessen welche welcher welches wodurch woraus worauf wonach warum ob""
 FORMULA = """president madam honourable colleagues thank members attention chair
 präsidentin präsident damen herren danke dank kolleginnen kollegen aufmerksamkeit""".split()
 
-_REMARK = re.compile(r"\([^()\[\]\x00]*\)|\[[^()\[\]\x00]*\]")
 _BROKEN = re.compile("­|(?<=\\w)-[ \t]*\r?\n[ \t]*(?=\\w)")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[.!?;:–—…,\x00]")
 _GAP = "\x00"
@@ -56,48 +64,46 @@ for _words, _bit in ((CONNECTIVES, _CONN), (SUBORDINATORS, _SUB), (FORMULA, _FOR
         _KIND[_w] |= _bit
 
 
-def cell(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % CELLS
-
-
 def tokens(texts: list[str | None]) -> list[str]:
     """Tokens of all texts in lower case; each text ends with ``\\x00``."""
     joined = _GAP.join([(t or "").replace(_GAP, " ") for t in texts]) + _GAP
     n = 1
     while n:
-        joined, n = _REMARK.subn(" ", joined)
+        joined, n = REMARK.subn(" ", joined)
     return _TOKEN.findall(_BROKEN.sub("", joined).lower())
 
 
 class Lexicon:
-    """Kind, length and cell of each token, kept in a memo that is emptied when it is full."""
+    """Kind, length and rarity of each token, kept in a memo that is emptied when it is full."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, rarity: dict[str, float] | None = None, most: int = 500_000):
         self.ids: dict[str, int] = {}
         self.most = most
-        self.table = np.zeros((0, 3), np.int32)
+        self.rarity = rarity or {}
+        self.table, self.rare = np.zeros((0, 2), np.int32), np.zeros(0)
 
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = self.ids
         if len(ids) > self.most:
             ids.clear()
-            self.table = self.table[:0]
+            self.table, self.rare = self.table[:0], self.rare[:0]
         fresh = sorted(set(words).difference(ids))
         if fresh:
-            rows = np.zeros((len(fresh), 3), np.int32)
+            rows = np.zeros((len(fresh), 2), np.int32)
             for k, w in enumerate(fresh):
                 ids[w] = len(self.table) + k
                 kind = _END if w == _GAP else _COMMA if w == "," else _NUMBER if w[0].isdigit() else _LETTERS if w.isalpha() else _STOP
-                rows[k] = kind | _KIND.get(w, 0), len(w), cell(w)
+                rows[k] = kind | _KIND.get(w, 0), len(w)
             self.table = np.concatenate([self.table, rows])
+            self.rare = np.concatenate([self.rare, [self.rarity.get(w, TOP_RARITY) for w in fresh]])
         code = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
-        return code, self.table
+        return code, self.table, self.rare
 
 
-def features(texts: list[str | None], lexicon: Lexicon, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: list[str | None], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     """A row of N_FEATURES per text, and whether it reads as German."""
     n = len(texts)
-    code, table = lexicon(tokens(texts))
+    code, table, rarity = lexicon(tokens(texts))
     kind = table[code, 0]
     end = (kind & _END) > 0
     doc = np.cumsum(end) - end
@@ -130,7 +136,7 @@ def features(texts: list[str | None], lexicon: Lexicon, rarity: np.ndarray) -> t
     def of_words(x: np.ndarray) -> np.ndarray:
         return np.bincount(doc[own], x[own], n) / total
 
-    rare = rarity[table[code, 2]]
+    rare = rarity[code]
     length = table[code, 1].astype(float)
     pair = np.sort(doc[own].astype(np.int64) * (len(table) + 1) + code[own])
     types = np.bincount(pair[np.append(True, pair[1:] != pair[:-1])[: len(pair)]] // (len(table) + 1), minlength=n) if len(pair) else np.zeros(n)
@@ -195,32 +201,49 @@ def _pieces(ids: list, texts: list):
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cells = np.zeros(CELLS, np.int64)
+    """(doc_id, text, labelled) to (word, n) of all texts and (doc_id, text) of the labelled ones."""
+    seen: Counter = Counter()
+
+    def rows(words: list, counts: list, ids: list, texts: list) -> pa.RecordBatch:
+        none = [None] * len(words), [None] * len(ids)
+        columns = [words + none[1], counts + none[1], none[0] + ids, none[0] + texts]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["word", "n", "doc_id", "text"])
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        words = [w for w in seen if w.isalpha()]
+        for s in range(0, len(words), 50_000):
+            part = words[s : s + 50_000]
+            yield rows(part, [seen[w] for w in part], [], [])
+        seen.clear()
+
     for b in batches:
-        seen: Counter = Counter()
-        for _, texts in _pieces(b.column(0).to_pylist(), b.column(0).to_pylist()):
-            seen.update(tokens(texts))
-        for w, n in seen.items():
-            if w.isalpha():
-                cells[cell(w)] += n
-    at = np.flatnonzero(cells)
-    yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(cells[at])], names=["cell", "n"])
+        ids, texts, labelled = (c.to_pylist() for c in b.columns)
+        for _, some in _pieces(ids, texts):
+            seen.update(tokens(some))
+        kept = [k for k, x in enumerate(labelled) if x]
+        if kept:
+            yield rows([], [], [ids[k] for k in kept], [texts[k] for k in kept])
+        if len(seen) > WORDS:
+            yield from counted()
+    yield from counted()
 
 
-def word_rarity(docs: DataFrame) -> np.ndarray:
-    """-log of each cell's share of all words of ``docs``; CELLS numbers come to the driver, however large the corpus."""
-    counts = docs.select("text").mapInArrow(_count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros(CELLS)
-    n[counts["cell"].to_numpy()] = counts["n"].to_numpy()
-    return np.log(n.sum() + CELLS) - np.log(n + 1)
+def common_words(counts: DataFrame) -> dict[str, float]:
+    """Rarity, -log of its share of all words, of every word whose share is at least RAREST, from ``word, n`` rows.
+
+    At most 1 / RAREST words come to the driver."""
+    sums = counts.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    top = sums.where(F.col("n") >= RAREST * total).toArrow()
+    return dict(zip(top["word"].to_pylist(), (math.log(total) - np.log(top["n"].to_numpy())).tolist())) if total else {}
 
 
 def _features(broadcast):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon()
+        lexicon = Lexicon(broadcast.value)
         for b in batches:
             for ids, texts in _pieces(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x, german = features(texts, lexicon, broadcast.value)
+                x, german = features(texts, lexicon)
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(german), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "german", "x"])
 
     return over
@@ -229,10 +252,10 @@ def _features(broadcast):
 def _score(broadcast):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity, models = broadcast.value
-        lexicon = Lexicon()
+        lexicon = Lexicon(rarity)
         for b in batches:
             for ids, texts in _pieces(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x, german = features(texts, lexicon, rarity)
+                x, german = features(texts, lexicon)
                 level = np.where(german, models[True].level(x), models[False].level(x))
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(level.astype(np.int32))], names=["doc_id", "level"])
 
@@ -250,18 +273,28 @@ def fit(x: np.ndarray, german: np.ndarray, y: np.ndarray, least: int = 60) -> di
     return out
 
 
-def labelled(docs: DataFrame, labels: DataFrame, rarity, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, language and label of at most ``sample`` labelled documents; a rating each, so two raters count twice."""
-    spark = docs.sparkSession
-    rated = labels.where(f"level between 1 and {LEVELS}").select("doc_id", "level")
+def ratings(labels: DataFrame, sample: int = SAMPLE) -> dict[int, list[int]]:
+    """The ratings of at most ``sample`` documents, those with the smallest hash of doc_id; two raters give two ratings."""
+    rated = labels.where(f"level between 1 and {LEVELS} and doc_id is not null").select("doc_id", "level")
     chosen = rated.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     some = rated.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.collect_list("level").alias("levels"))
-    of = {r[0]: r[1] for r in some.collect()}
-    ids = spark.createDataFrame([(k,) for k in of], "doc_id long")
-    rows = docs.where(f"length(text) >= {LEAST_CHARS}").select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_features(rarity), "doc_id long, german boolean, x array<double>").toArrow()
+    return {r[0]: r[1] for r in some.collect()}
+
+
+def counted(docs: DataFrame, ids: Iterable[int]) -> DataFrame:
+    """``word, n`` of all documents and ``doc_id, text`` of those in ``ids`` (at most SAMPLE) that are long enough, written once."""
+    wanted = docs.sparkSession.createDataFrame([(k,) for k in ids], "__id long")
+    marked = docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("__id"), "left")
+    marked = marked.select("doc_id", "text", (F.col("__id").isNotNull() & (F.length("text") >= LEAST_CHARS)).alias("labelled"))
+    return cut_lineage(marked.mapInArrow(_count, "word string, n long, doc_id long, text string"))
+
+
+def training_rows(texts: DataFrame, of: dict[int, list[int]], rarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, language and label of labelled documents, a rating each."""
+    rows = texts.select("doc_id", "text").mapInArrow(_features(rarity), "doc_id long, german boolean, x array<double>").toArrow()
     x, german, y = [], [], []
-    for i, g, v in zip(*(rows[c].to_pylist() for c in ("doc_id", "german", "x"))):
-        for level in of[i]:
+    for i, g, v in sorted(zip(*(rows[c].to_pylist() for c in ("doc_id", "german", "x")))):
+        for level in sorted(of[i]):
             x.append(v)
             german.append(g)
             y.append(level)
@@ -272,13 +305,16 @@ def reading_levels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """``doc_id, level`` (1 easiest to 4 hardest) of every document of at least LEAST_CHARS characters.
 
     docs: ``doc_id, text``; labels: ``doc_id, level``, repeated and null ratings allowed. Null, empty and short texts get
-    no row; repeated documents are repeated. Without any usable label every document gets the middle level 2.
+    no row; repeated documents are repeated. Without any usable label, so that nothing can be fitted, every level is null.
     """
     spark = docs.sparkSession
-    rarity = word_rarity(docs)
-    x, german, y = labelled(docs, labels, spark.sparkContext.broadcast(rarity), sample)
     wanted = docs.where(f"length(text) >= {LEAST_CHARS}").select("doc_id", "text")
-    if not len(y):
-        return wanted.select("doc_id", F.lit(2).alias("level"))
+    of = ratings(labels, sample)
+    first = counted(docs, of) if of else None
+    if first is not None:
+        rarity = common_words(first)
+        x, german, y = training_rows(first.where("word is null"), of, spark.sparkContext.broadcast(rarity))
+    if first is None or not len(y):
+        return wanted.select("doc_id", F.lit(None).cast("int").alias("level"))
     both = spark.sparkContext.broadcast((rarity, fit(x, german, y)))
     return wanted.mapInArrow(_score(both), "doc_id long, level int")

@@ -45,10 +45,18 @@ SELECT scope, key, month, metric, CAST(max(total) AS BIGINT) AS n, """ + ", ".jo
   CAST(max(total) // 34000 * 34 AS BIGINT) AS rank_error FROM c GROUP BY scope, key, month, metric"""
 
 
+def _items(name: str, lengths: str, capacity: int) -> str:
+    """A whole number of full batches and a rest of each item; all batches hold."""
+    return f"SELECT k AS {name}, CAST(ceil(n / {capacity}.0) AS BIGINT) AS n_pieces, CAST(n AS BIGINT) AS length, true AS whole, true AS fits FROM ({lengths}) z WHERE n > 0"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
+        "p2_scaffold_items": _items("scaffold", "SELECT lower(trim(scaffold)) AS k, sum(e - s) AS n FROM (SELECT DISTINCT lower(trim(scaffold)) AS scaffold, start_pos AS s, end_pos AS e FROM genomes_bed_file WHERE scaffold IS NOT NULL AND end_pos > start_pos) q GROUP BY 1", 500_000),
+        "p2_genome_items": _items("genome", "SELECT genome AS k, max(genome_length) AS n FROM genome_lengths WHERE genome IS NOT NULL GROUP BY 1", 10_000_000),
         "p4_percentiles": _P4,
         "p5_found": _P5,
+        "p7_covered": "SELECT doc_id, CAST(coalesce(length(text), 0) AS INTEGER) AS last_char FROM documents",
         "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }

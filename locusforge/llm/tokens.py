@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 #: Folder of the public tokenizers' files; a parameter of every function here.
 FOLDER = "/opt/tokenizers"
@@ -146,12 +146,3 @@ def decode(tokens: DataFrame, folder: str = FOLDER, name: str = NAME) -> DataFra
     that ends inside a character ends in U+FFFD. Null lists give null, empty lists the empty text, unknown and null ids nothing.
     """
     return tokens.select("doc_id", "ids").mapInArrow(_decode(folder, name), "doc_id long, text string")
-
-
-def token_counts(tokens: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens``."""
-    return tokens.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"))
-
-
-def text_column(c: Column | str = "text") -> Column:
-    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))

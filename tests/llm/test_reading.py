@@ -1,5 +1,6 @@
 """p9: ordinal regression and features."""
 
+import math
 import random
 
 import numpy as np
@@ -33,14 +34,26 @@ def test_held_out_levels(spark):
     assert set(got) == set(range(400))
     assert np.mean([got[i] == 1 + i % 4 for i in range(200, 400)]) > 0.75
     none = {x.level for x in reading.reading_levels(docs, labels.limit(0)).collect()}
-    assert none == {2}
+    assert none == {None}
+    assert {x.level for x in reading.reading_levels(docs, labels.where("doc_id = 7000")).collect()} == {None}
     assert reading.reading_levels(docs.limit(0), labels).collect() == []
 
 
 def test_procedure_does_not_count():
-    lex, rarity = reading.Lexicon(), np.full(reading.CELLS, 8.0)
+    lex = reading.Lexicon()
     plain = " ".join(HARD * 3)
     noisy = "Madam President, honourable members. " + " (Applause) ".join(HARD * 3) + " Cf. printed paper 29/20, p. 3. Thank you for your attention."
-    a, _ = reading.features([plain], lex, rarity)
-    b, _ = reading.features([noisy, "", None], lex, rarity)
+    a, _ = reading.features([plain], lex)
+    b, _ = reading.features([noisy, "", None], lex)
     assert np.abs(a[0] - b[0]).max() < 0.05 and np.isfinite(b).all()
+
+
+def test_words_are_counted_over_all_documents_and_only_common_ones_kept(spark, monkeypatch):
+    monkeypatch.setattr(reading, "RAREST", 0.01)
+    docs = spark.createDataFrame([(i, f"aaa bbb (ccc) w{chr(97 + i % 26)}x{chr(97 + i // 26)} " + ("ddd " * (i % 3))) for i in range(300)] + [(-1, None)], "doc_id long, text string").repartition(5)
+    first = reading.counted(docs, [3, 5])
+    assert {r.word: r.n for r in first.where("word in ('aaa', 'bbb', 'ccc', 'ddd')").groupBy("word").sum("n").withColumnRenamed("sum(n)", "n").collect()} == {"aaa": 300, "bbb": 300, "ddd": 300}
+    assert first.where("word is null").collect() == []  # too short to be labelled
+    rarity = reading.common_words(first)
+    assert set(rarity) == {"aaa", "bbb", "ddd"} and abs(rarity["aaa"] - math.log(4)) < 1e-9
+    assert reading.common_words(first.limit(0)) == {}
