@@ -1,16 +1,15 @@
-import pytest
 from pyspark.sql import functions as F
 
 from locusforge import session
 
 
-def test_spread_only_where_rows_lie_together(spark, tmp_path):
+def test_spread_only_where_there_are_few_partitions(spark):
     df = spark.range(1000).coalesce(1)
-    assert session.spread(df, "id").rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
-    for many in (spark.range(0, 1000, 1, 64), spark.range(0, 1000, 1, 5)):
+    cores = spark.sparkContext.defaultParallelism
+    assert session.spread(df, "id").rdd.getNumPartitions() == 3 * cores
+    for many in (spark.range(0, 1000, 1, 64), spark.range(0, 1000, 1, cores), spark.range(0, 1000, 1, cores).where("id < 100")):
         assert session.spread(many, "id").rdd.getNumPartitions() == many.rdd.getNumPartitions()
-    lumped = spark.range(0, 1000, 1, 6).where("id < 100")
-    assert session.spread(lumped, "id").rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
+    assert session.spread(spark.range(0, 1000, 1, cores), "id", cores + 1).rdd.getNumPartitions() == 3 * cores and session.spread(df, "id", 1).rdd.getNumPartitions() == 1
     assert session.spread(spark.range(0), "id").count() == 0 and session.spread(df, "id").agg(F.sum("id")).first()[0] == 499500
 
 
