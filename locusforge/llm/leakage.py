@@ -31,6 +31,8 @@ WINDOW, ERRORS = 25, 2
 STEPS, SAMPLED, REPEATS = 32, 10, 8
 #: Words of an item handled as one; longer items are cut into segments that overlap by more than a window and its walk.
 SEGMENT, OVERLAP = 256, 64
+#: Pairs of windows with a common key that are expanded at once.
+EXPANDED = 2_000_000
 #: Characters of item texts in one block, and characters of documents handled at once.
 BLOCK_CHARS, PIECE_CHARS = 4_000_000, 600_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -163,12 +165,15 @@ def candidates(index: Index, hashes: np.ndarray) -> np.ndarray:
         row[row == len(index.keys[r])] = 0
         same = index.keys[r][row] == key[hit]
         hit, row = hit[same], row[same]
-        many = index.rows[r][row + 1] - index.rows[r][row]
-        y = np.arange(many.sum()) + np.repeat(index.rows[r][row] - np.cumsum(many) + many, many)
-        found.append((np.repeat(hit, many) - index.place[r][y] + width) * n + index.segment[r][y])
-    every = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    if len(every):
-        every = every[np.append(True, every[1:] != every[:-1])]
+        # a key that very many windows share is expanded piece by piece; of each piece only the distinct pairs stay
+        first, last = index.rows[r][row], index.rows[r][row + 1]
+        ends = np.cumsum(last - first)
+        for low in range(0, int(ends[-1]) if len(ends) else 0, EXPANDED):
+            at = np.arange(low, min(low + EXPANDED, int(ends[-1])))
+            of = np.searchsorted(ends, at, "right")
+            y = last[of] - (ends[of] - at)
+            found.append(np.unique((hit[of] - index.place[r][y] + width) * n + index.segment[r][y]))
+    every = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return np.column_stack([every // max(n, 1) - width, every % max(n, 1)])
 
 

@@ -81,3 +81,14 @@ def test_through_spark_with_nulls_and_blocks(spark):
         got = sorted(tuple(r) for r in leakage.leaks(docs, items, chars).collect())
         assert got == [(1, 10), (1, 14), (4, 10), (4, 11), (4, 14)]
     assert leakage.leaks(docs, items.limit(0)).collect() == [] and leakage.leaks(docs.limit(0), items).collect() == []
+
+
+def test_pairs_of_a_common_key_are_expanded_in_pieces(monkeypatch):
+    w = vocabulary(random.Random(3))
+    items = [(i, " ".join(w[:40] + [f"e{i}"])) for i in range(30)]
+    index = leakage.build_index(items)
+    hashes = leakage.Words()(["\x00", *w[:40], "\x00", *w[5:40], "\x00"])
+    whole = leakage.candidates(index, hashes)
+    monkeypatch.setattr(leakage, "EXPANDED", 7)
+    assert len(whole) > 60 and (leakage.candidates(index, hashes) == whole).all()
+    assert search(items, [" ".join(w[:40])]) == {(0, i) for i in range(30)}
