@@ -18,17 +18,10 @@ from locusforge.streaming import ingest
 
 MIN_COV, MIN_GENE = 5, 5
 SCOPE = "gen_00000,gen_00003"
-#: Samples that the SQL of the breadth matrix has as columns; the queries take all samples of the profile.
-MATRIX_SAMPLES = ["S0000000", "S0000001", "S0000002", "S0000003"]
 SINGLE_PAIR = ("S0000000", "S0000001")
 GENOME, POPULATIONS = "gen_00000", ("lowland_a", "lowland_b")
-#: Labels that the SQL of the lists has as columns; the query takes all labels that occur.
-IBS_LABELS = ["within_population_lowland_a|lowland_a", "between_population_lowland_a|lowland_b", "within_population_lowland_b|lowland_b"]
 #: Profiles cover a thousandth of their genomes or less.
 MIN_BREADTH = 0.00005
-#: The SQL of the error filter has limits of a tenth of the coverage up to this one and drops all counts of rows covered more;
-#: the queries take the Poisson null model instead.
-MODEL_TOP = 99
 
 
 def profile(spark: SparkSession, d: str) -> DataFrame:

@@ -24,7 +24,12 @@ c AS (SELECT * FROM c1 WHERE r = 1)""",
   FROM profile_registry WHERE profile_name IS NOT NULL),
 g AS (SELECT profile_name, profile_location, scaffold_location, reference_db_id, gene_db_id FROM g0 WHERE r = 1)""",
     "f": f"f AS (SELECT * FROM p WHERE cov >= {q.MIN_COV})",
-    "e": "e AS (SELECT sample, chrom, pos, gene, " + ", ".join(f"CASE WHEN cov <= {q.MODEL_TOP} AND {x} >= cov // 10 THEN {x} ELSE 0 END AS {x}" for x in "ACGT") + f" FROM p WHERE cov >= {q.MIN_COV})",
+    "e": f"""top AS (SELECT max(cov) AS cov FROM p),
+lk AS (SELECT unnest(range(1, (SELECT cov FROM top) + 1)) AS cov), kk AS (SELECT unnest(range(0, 100 + CAST((SELECT cov FROM top) // 1000 AS INTEGER))) AS k),
+lt AS (SELECT cov, k, exp(-cov * 0.001 / 3 + CASE WHEN k = 0 THEN 0 ELSE k * ln(cov * 0.001 / 3) END - lgamma(k + 1)) AS px FROM lk CROSS JOIN kk),
+lu AS (SELECT cov, k, 1 - sum(px) OVER (PARTITION BY cov ORDER BY k ROWS UNBOUNDED PRECEDING) + px AS at_least FROM lt),
+lm AS (SELECT cov, max(k) AS lim FROM lu WHERE at_least > 0.05 GROUP BY cov),
+e AS (SELECT sample, chrom, pos, gene, {", ".join(f"CASE WHEN {x} >= lim THEN {x} ELSE 0 END AS {x}" for x in "ACGT")} FROM p JOIN lm ON lm.cov = p.cov WHERE p.cov >= {q.MIN_COV})""",
     "sh": """bl0 AS (SELECT *, sum(CASE WHEN surr = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY sample_1, sample_2, scaffold ORDER BY pos ROWS UNBOUNDED PRECEDING) AS grp FROM l),
 lg AS (SELECT l.*, coalesce(s.genome, 'NA') AS genome FROM bl0 l LEFT JOIN s ON s.scaffold = l.scaffold)""",
     "gl": "gl AS (SELECT s.genome, sum(b.e0 - b.s0) AS genome_length FROM b LEFT JOIN s ON s.scaffold = b.scaffold GROUP BY 1)",
@@ -65,7 +70,7 @@ cg AS (SELECT t.genome, CAST(t.n AS BIGINT) AS total_positions, CAST(t.sh AS BIG
   LEFT JOIN ge ON ge.sample_1 = t.sample_1 AND ge.sample_2 = t.sample_2 AND ge.genome = t.genome)"""
 _SCOPED = "s AS (SELECT * FROM s1 WHERE genome IN (" + ", ".join(f"'{g}'" for g in q.SCOPE.split(",")) + "))"
 _S1 = _CTES["s"].replace("s AS", "s1 AS", 1)
-_MATRIX = "SELECT genome, " + ", ".join(f"max(breadth) FILTER (WHERE sample = '{x}') AS {x}" for x in q.MATRIX_SAMPLES) + " FROM br WHERE genome IS NOT NULL GROUP BY genome"
+_ALL_SAMPLES = "bs AS (SELECT DISTINCT sample FROM p), bt AS (SELECT bs.sample, br.genome, br.breadth FROM bs LEFT JOIN br ON br.sample = bs.sample AND br.genome IS NOT NULL)"
 _SHARING = f"""w AS (SELECT genome, sample FROM br WHERE breadth >= {q.MIN_BREADTH}), nn AS (SELECT sample, count(*) AS n FROM w GROUP BY 1),
 h AS (SELECT c.sample_1, c.sample_2, count(*) AS k FROM c JOIN w a ON a.genome = c.genome AND a.sample = c.sample_1 JOIN w z ON z.genome = c.genome AND z.sample = c.sample_2
   WHERE c.total_positions > 10000 AND c.genome_pop_ani >= 99.9 GROUP BY 1, 2),
@@ -118,8 +123,9 @@ def oracle_sql() -> dict[str, str]:
         "strain_heterogeneity": _with("p", "s") + "SELECT p.sample, s.genome, CAST(count(*) AS BIGINT) AS total_sites_at_5_coverage, CAST(count(*) FILTER (WHERE CAST(greatest(A, C, G, T) AS DOUBLE) / cov < 0.8) AS BIGINT) AS heterogeneous_sites, CAST(count(*) FILTER (WHERE CAST(greatest(A, C, G, T) AS DOUBLE) / cov < 0.8) AS DOUBLE) / count(*) AS strain_heterogeneity FROM p LEFT JOIN s ON s.scaffold = p.chrom WHERE cov >= 5 GROUP BY 1, 2",
         "genome_length": _with("s", "b", "gl") + "SELECT genome, CAST(genome_length AS BIGINT) AS genome_length FROM gl",
         "genome_breadth": _with("p", "s", "b", "gl", "br") + "SELECT * FROM br",
-        "breadth_matrix_full_join": _with("p", "s", "b", "gl", "br") + _MATRIX,
-        "breadth_unpivot": _with("p", "s", "b", "gl", "br", f"m AS ({_MATRIX})") + " UNION ALL ".join(f"SELECT genome, '{x}' AS sample, coalesce({x}, 0.0) AS breadth FROM m" for x in q.MATRIX_SAMPLES),
+        "breadth_matrix_full_join": _with("p", "s", "b", "gl", "br", _ALL_SAMPLES) + "SELECT * FROM (PIVOT bt ON sample USING max(breadth) GROUP BY genome) WHERE genome IS NOT NULL",
+        "breadth_unpivot": _with("p", "s", "b", "gl", "br", "bs AS (SELECT DISTINCT sample FROM p)", "bg AS (SELECT DISTINCT genome FROM br WHERE genome IS NOT NULL)")
+        + "SELECT bg.genome, bs.sample, coalesce(br.breadth, 0.0) AS breadth FROM bg CROSS JOIN bs LEFT JOIN br ON br.genome = bg.genome AND br.sample = bs.sample",
         "gene_ranges": _with("p", "r") + "SELECT scaffold || '_' || regexp_extract(gene, '([^_]*)$', 1) AS gene, scaffold, s0 AS \"start\", e0 AS \"end\" FROM r",
         "gene_loc_explode": _with("p", "r", "b") + "SELECT scaffold, gene, CAST(e0 - s0 + 1 AS BIGINT) AS n, CAST((s0 + e0) * (e0 - s0 + 1) // 2 AS BIGINT) AS sum_pos FROM r WHERE scaffold IN (SELECT scaffold FROM b)",
         "gene_range_annotate": _with("p", "r", "w AS (SELECT DISTINCT chrom, pos FROM p)", "k AS (SELECT w.chrom, w.pos, r.gene, row_number() OVER (PARTITION BY w.chrom, w.pos ORDER BY r.s0 DESC NULLS LAST, r.gene DESC NULLS LAST) AS rn FROM w LEFT JOIN r ON r.scaffold = w.chrom AND w.pos BETWEEN r.s0 AND r.e0)") + "SELECT chrom, pos, coalesce(gene, 'NA') AS gene FROM k WHERE rn = 1",
@@ -139,7 +145,7 @@ SELECT cov, CAST(max(k) AS BIGINT) AS max_error_count FROM u WHERE at_least > 0.
         "profile_names": _with("c") + "SELECT sample_1 AS profile_name FROM c UNION SELECT sample_2 FROM c",
         "strain_sharing": _with("p", "s", "b", "gl", "br", "c", "o", _SHARING) + "SELECT * FROM ss",
         "ibs_labels": _with("c", "o", "i") + "SELECT genome, label, CAST(count(*) AS BIGINT) AS n, CAST(sum(v) AS BIGINT) AS total, CAST(max(v) AS BIGINT) AS longest FROM i GROUP BY 1, 2",
-        "ibs_lists": _with("c", "o", "i") + "SELECT genome, " + ", ".join(f"coalesce(string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) FILTER (WHERE label = '{x}'), '-1') AS list_{k}" for k, x in enumerate(q.IBS_LABELS)) + " FROM i GROUP BY genome",
+        "ibs_lists": _with("c", "o", "i", "il AS (SELECT genome, label, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) AS list FROM i GROUP BY 1, 2)") + "SELECT genome, coalesce(COLUMNS(* EXCLUDE genome), '-1') FROM (PIVOT il ON label USING max(list) GROUP BY genome)",
         "ibs_cdf": _with("c", "o", "i", f"hb AS (SELECT genome, label, least(CAST(floor(v / {_WIDTH}) AS BIGINT), 9998) AS bin, count(*) AS n FROM i WHERE v BETWEEN 0 AND 50000 GROUP BY 1, 2, 3)")
         + f"SELECT genome, label, bin, (bin + 1) * {_WIDTH} AS upper_edge, CAST(n AS BIGINT) AS n, CAST(sum(n) OVER (PARTITION BY genome, label ORDER BY bin DESC ROWS UNBOUNDED PRECEDING) AS DOUBLE) / sum(n) OVER (PARTITION BY genome, label) AS share_at_or_above FROM hb",
         "ibs_distance": _with("c", "o", "i", _DIST) + "SELECT * FROM di",
